@@ -198,5 +198,7 @@ def predict(counted: DataFrame, model: NaiveBayesModel) -> DataFrame:
 
 def best_class(labels: Sequence[int], prefix: str = "score_") -> Column:
     """Class of the highest score; equal scores go to the lowest class."""
-    ranked = F.array_max(F.array(*[F.struct(F.col(f"{prefix}{c}"), F.lit(-c).alias("low")) for c in labels]))
+    ranked = F.array_max(
+        F.array(*[F.struct(F.col(f"{prefix}{c}").alias("score"), F.lit(-c).alias("low")) for c in labels])
+    )
     return (-ranked["low"]).cast("int")

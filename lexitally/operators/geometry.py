@@ -7,6 +7,7 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ MAX_CLASSES = 1_000
 MAX_SAMPLE = 5_000
 
 
+def _matrix(rows: DataFrame) -> RowMatrix:
+    """A distributed matrix from one array column."""
+    vectors = rows.select(array_to_vector("row").alias("row"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row"))
+
+
 def pca(df: DataFrame, k: int, vector: str = "embedding", keep=("vec_id", "label")) -> DataFrame:
     """Centred principal component scores as an array column `scores`.
 
@@ -69,7 +76,7 @@ def text_components(counted: DataFrame, k: int, min_df: int = 3) -> DataFrame:
     )
     at = F.sequence(F.lit(0), F.lit(n - 1))
     centred = F.transform(at, lambda i: F.coalesce(F.try_element_at("cell", i), F.lit(0.0)) - F.col("mean"))
-    matrix = RowMatrix(stage(by_term.select(array_to_vector(centred).alias("row"))))
+    matrix = _matrix(stage(by_term.select(centred.alias("row"))))
     svd = matrix.computeSVD(min(k, n - 1), computeU=False)
     scores = svd.V.toArray() * svd.s.toArray()
     table = [(key, [float(v) for v in scores[i]]) for i, key in enumerate(keys)]
@@ -83,7 +90,7 @@ def covariance(df: DataFrame, vector: str = "embedding") -> DataFrame:
     Each task adds up one width x width block, so neither the rows nor the
     result grow with anything but the width of the vectors.
     """
-    matrix = RowMatrix(df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("row")))
+    matrix = _matrix(df.select(F.col(vector).cast("array<double>").alias("row")))
     values = matrix.computeCovariance().toArray()
     cells = [(i, j, float(values[i, j])) for i in range(len(values)) for j in range(i, len(values))]
     return df.sparkSession.createDataFrame(cells, "i int, j int, value double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,15 +79,12 @@ def style_lexicon_rates(corpus: DataFrame, lexicon: Mapping[str, Sequence[str]]
     text and category is summed and no token is shuffled.
     """
     texts = corpus.select("label", tokenize(F.col("text")).alias("t"))
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("category"),
-                F.size(F.filter("t", lambda w, ws=list(words): w.isin(ws))).alias("hits"),
-            )
-            for name, words in sorted(lexicon.items())
-        ]
-    )
+
+    def category(name: str, words: list[str]) -> Column:
+        hits = F.size(F.filter("t", lambda w: w.isin(words)))
+        return F.struct(F.lit(name).alias("category"), hits.alias("hits"))
+
+    hits = F.array(*[category(name, list(words)) for name, words in sorted(lexicon.items())])
     rows = texts.select("label", F.size("t").alias("tokens"), F.inline(hits))
     sums = rows.groupBy("label", "category").agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
     rate = F.coalesce(F.try_divide(1000.0 * F.col("hits"), F.col("tokens")), F.lit(0.0))
