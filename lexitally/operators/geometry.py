@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,11 +12,12 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexitally.functions.text import let
 from lexitally.operators.terms import attach, long_rows, term_stats
 from lexitally.sources.stage import stage
 
 MAX_CLASSES = 1_000
-MAX_SAMPLE = 5_000
+MAX_SAMPLE = 2_000
 
 
 def _matrix(rows: DataFrame) -> RowMatrix:
@@ -24,6 +26,16 @@ def _matrix(rows: DataFrame) -> RowMatrix:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "row"))
 
 
+def _signs(columns: np.ndarray) -> np.ndarray:
+    """The sign of the largest entry of each column."""
+    largest = columns[np.abs(columns).argmax(axis=0), np.arange(columns.shape[1])]
+    return np.where(largest < 0, -1.0, 1.0)
+
+
+def _signed(columns: np.ndarray) -> np.ndarray:
+    return columns * _signs(columns)
+
+
 def pca(df: DataFrame, k: int, vector: str = "embedding", keep=("vec_id", "label")) -> DataFrame:
     """Centred principal component scores as an array column `scores`.
 
@@ -37,9 +49,7 @@ def pca(df: DataFrame, k: int, vector: str = "embedding", keep=("vec_id", "label
         PCA(k=k, inputCol="centred", outputCol="pc"),
     ]
     model = Pipeline(stages=stages).fit(rows)
-    loadings = model.stages[-1].pc.toArray()
-    signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    flip = F.array(*[F.lit(s) for s in signs])
+    flip = F.array(*[F.lit(s) for s in _signs(model.stages[-1].pc.toArray()).tolist()])
     scores = F.zip_with(vector_to_array("pc"), flip, lambda a, s: a * s)
     return model.transform(rows).select(*keep, scores.alias("scores"))
 
@@ -56,8 +66,9 @@ def text_components(counted: DataFrame, k: int, min_df: int = 3) -> DataFrame:
     The matrix is taken with terms as rows and the sampled texts as columns.
     The vocabulary, which may be of any size, stays distributed; only the
     sample, at most MAX_SAMPLE texts, sets the width. Centring a term over the
-    texts is then a step within its own row. The right singular vectors times
-    the singular values are the scores of the texts.
+    texts is then a step within its own row. One pass over the terms adds up the
+    texts x texts products, whose eigenvectors times the roots of the
+    eigenvalues are the scores of the texts.
     """
     counted = stage(counted)
     keys = [r[0] for r in counted.select("doc_id").orderBy("doc_id").limit(MAX_SAMPLE + 1).collect()]
@@ -71,14 +82,20 @@ def text_components(counted: DataFrame, k: int, min_df: int = 3) -> DataFrame:
     cells = rows.join(F.broadcast(numbered), "doc_id")
     # A term meets at most the sampled texts.
     by_term = cells.groupBy("term").agg(
-        F.map_from_entries(F.collect_list(F.struct("at", F.col("tf").cast("double")))).alias("cell"),
+        F.collect_list(F.struct("at", F.col("tf").cast("double"))).alias("cells"),
         (F.sum("tf") / n).alias("mean"),
     )
-    at = F.sequence(F.lit(0), F.lit(n - 1))
-    centred = F.transform(at, lambda i: F.coalesce(F.try_element_at("cell", i), F.lit(0.0)) - F.col("mean"))
+    texts = F.sequence(F.lit(0), F.lit(n - 1))
+    centred = let(
+        F.map_from_entries("cells"),
+        lambda cell: F.transform(
+            texts, lambda i: F.coalesce(F.try_element_at(cell, i), F.lit(0.0)) - F.col("mean")
+        ),
+    )
     matrix = _matrix(stage(by_term.select(centred.alias("row"))))
-    svd = matrix.computeSVD(min(k, n - 1), computeU=False)
-    scores = svd.V.toArray() * svd.s.toArray()
+    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    top = np.argsort(values)[::-1][: min(k, n)]
+    scores = _signed(vectors[:, top]) * np.sqrt(np.maximum(values[top], 0.0))
     table = [(key, [float(v) for v in scores[i]]) for i, key in enumerate(keys)]
     found = spark.createDataFrame(table, "doc_id long, scores array<double>")
     return counted.drop("terms").join(F.broadcast(found), "doc_id")
@@ -142,11 +159,13 @@ def _with_distances(df: DataFrame, vector: str, label: str) -> DataFrame:
     is neither shuffled nor joined nor multiplied by the number of classes.
     """
     every = _all_centroids(df, vector, label).scalar()
-    rows = df.select(label, F.col(vector).cast("array<double>").alias("v"), every.alias("all"))
-    apart = F.transform(
-        "all", lambda c: F.struct(distance(F.col("v"), c["centroid"]).alias("d"), c["label"].alias("label"))
+    apart = let(
+        F.col(vector).cast("array<double>"),
+        lambda v: F.transform(
+            every, lambda c: F.struct(distance(v, c["centroid"]).alias("d"), c["label"].alias("label"))
+        ),
     )
-    return rows.select(label, apart.alias("apart"))
+    return df.select(label, apart.alias("apart"))
 
 
 def class_dispersion(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
