@@ -159,13 +159,14 @@ def _with_distances(df: DataFrame, vector: str, label: str) -> DataFrame:
     is neither shuffled nor joined nor multiplied by the number of classes.
     """
     every = _all_centroids(df, vector, label).scalar()
+    both = F.struct(F.col(vector).cast("array<double>").alias("v"), every.alias("all"))
     apart = let(
-        F.col(vector).cast("array<double>"),
-        lambda v: F.transform(
-            every, lambda c: F.struct(distance(v, c["centroid"]).alias("d"), c["label"].alias("label"))
+        F.col("both"),
+        lambda b: F.transform(
+            b["all"], lambda c: F.struct(distance(b["v"], c["centroid"]).alias("d"), c["label"].alias("label"))
         ),
     )
-    return df.select(label, apart.alias("apart"))
+    return df.select(label, both.alias("both")).select(label, apart.alias("apart"))
 
 
 def class_dispersion(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lexitally.functions.text import empty_if_null, tokenize
 from lexitally.functions.words import STYLE_LEXICON
 from lexitally.operators.bayes import NaiveBayesModel
-from lexitally.operators.terms import term_stats, with_totals
+from lexitally.operators.terms import long_rows, term_stats, with_totals
 
 
 def discriminative_words(model: NaiveBayesModel, k: int = 20) -> DataFrame:
@@ -49,7 +49,7 @@ def lexical_difference(counted: DataFrame) -> DataFrame:
     """Per term: relative frequency in each class, add-one smoothed log ratio and
     the share of each class's texts that use it."""
     labelled = counted.where(F.col("label").isin(0, 1))
-    rows = labelled.select("label", F.inline("terms"))
+    rows = long_rows(labelled.select("label", "terms"))
     sums = lambda c: F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"n_{c}")
     docs = lambda c: F.count_if(F.col("label") == c).alias(f"docs_{c}")
     stats = rows.groupBy("term").agg(sums(0), sums(1), docs(0), docs(1))
@@ -85,7 +85,7 @@ def style_lexicon_rates(corpus: DataFrame, lexicon: Mapping[str, Sequence[str]]
         return F.struct(F.lit(name).alias("category"), hits.alias("hits"))
 
     hits = F.array(*[category(name, list(words)) for name, words in sorted(lexicon.items())])
-    rows = texts.select("label", F.size("t").alias("tokens"), F.inline(hits))
+    rows = texts.select("label", F.size("t").alias("tokens"), F.inline_outer(hits))
     sums = rows.groupBy("label", "category").agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
     rate = F.coalesce(F.try_divide(1000.0 * F.col("hits"), F.col("tokens")), F.lit(0.0))
     return sums.select("*", rate.alias("per_1000"))

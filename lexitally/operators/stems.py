@@ -10,7 +10,8 @@ from lexitally.functions.stem import stem_word
 
 def stem_vocabulary(df: DataFrame, words: Column, mode: str = "extended") -> DataFrame:
     """(word, n, stem) for every distinct word; repeats meet before the stemmer runs."""
-    distinct = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(F.explode_outer(words).alias("word")).where(F.col("word").isNotNull())
+    distinct = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return distinct.select("word", "n", stem_word(F.col("word"), mode).alias("stem"))
 
 

@@ -16,10 +16,12 @@ from pyspark.sql.window import Window
 
 from lexitally.functions.text import count_terms
 
-# A key is heavy when it holds at least 1/HEAVY_SHARE of all rows. At most
-# HEAVY_SHARE keys can, whatever the data, which bounds the broadcast below.
+# A key is heavy when it holds at least 1/HEAVY_SHARE of all rows, or its length
+# in units of UNIT_CHARS times as much. Shares sum to 1, so whatever the data
+# there are at most HEAVY_SHARE heavy keys of HEAVY_SHARE x UNIT_CHARS characters
+# together, which bounds the broadcast below.
 HEAVY_SHARE = 10_000
-HEAVY_TERM_CHARS = 4_096
+UNIT_CHARS = 256
 
 
 def count_documents(df: DataFrame, terms: Column, keep: Sequence[str] = ("doc_id", "label")) -> DataFrame:
@@ -28,9 +30,14 @@ def count_documents(df: DataFrame, terms: Column, keep: Sequence[str] = ("doc_id
 
 
 def long_rows(counted: DataFrame) -> DataFrame:
-    """One row per (document, term). Documents without terms give no row."""
+    """One row per (document, term). Documents without terms give no row.
+
+    The outer form with a filter behind it is on purpose: for the inner form the
+    optimizer tests the array for emptiness below earlier joins, and so counts
+    the terms of every text twice more.
+    """
     keep = [c for c in counted.columns if c != "terms"]
-    return counted.select(*keep, F.inline("terms"))
+    return counted.select(*keep, F.inline_outer("terms")).where(F.col("term").isNotNull())
 
 
 def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -80,20 +87,17 @@ def top_terms(totals: DataFrame, k: int = 30) -> DataFrame:
 def attach(rows: DataFrame, table: DataFrame, uses: DataFrame, on: Sequence[str] = ("term",)) -> DataFrame:
     """Inner join of long rows with a table of one row per key, safe for hot keys.
 
-    `uses` holds the exact number of rows per key. Heavy keys, at most
-    HEAVY_SHARE of them, are looked up in a broadcast and their rows never
-    move. Every remaining key holds less than 1/HEAVY_SHARE of the rows, so the
-    shuffle join of the rest has no large partition. Nothing is dropped: the
-    two parts together are the whole join.
-
-    Terms above HEAVY_TERM_CHARS stay with the rest, which bounds the bytes of
-    the broadcast as well as its rows.
+    `uses` holds the exact number of rows per key. Heavy keys are looked up in a
+    broadcast of bounded size and their rows never move. Every remaining key
+    holds so few of the rows that the shuffle join of the rest has no large
+    partition. Nothing is dropped: the two parts together are the whole join.
     """
     on = list(on)
     total = uses.agg(F.sum("uses")).scalar()
-    heavy = uses.where(
-        (F.col("uses") * HEAVY_SHARE >= total) & (F.length("term") <= HEAVY_TERM_CHARS)
-    ).select(*on)
+    # One comparison of both numbers: a test of the term alone would move below
+    # the aggregate and keep Spark from reusing its shuffle.
+    units = F.greatest(F.lit(1.0), F.length("term") / UNIT_CHARS)
+    heavy = uses.where(F.col("uses") * HEAVY_SHARE >= total * units).select(*on)
     near = rows.join(F.broadcast(heavy.join(table, on)), on)
     far = rows.join(F.broadcast(heavy), on, "left_anti").join(table, on)
     return near.unionByName(far)

@@ -39,11 +39,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return src.spread(table(spark, d, "documents"))
 
 
 def corpus(spark, d) -> DataFrame:
-    return src.labelled_documents(documents(spark, d), table(spark, d, "labels"))
+    return src.labelled_documents(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def split_corpus(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +64,7 @@ def written_label(spark, d) -> DataFrame:
     """All documents with the class as text, null where there is none."""
     labels = table(spark, d, "labels").select("doc_id", "toxic")
     written = F.when(F.col("toxic") == 1, POSITIVE).when(F.col("toxic") == 0, NEGATIVE)
-    return documents(spark, d).join(labels.hint("shuffle_hash"), "doc_id", "left").select(
+    return table(spark, d, "documents").join(labels.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id", "text", written.alias("written")
     )
 
@@ -187,7 +187,7 @@ def tokenize_words(spark, d):
 @query
 def ngrams_1_2(spark, d):
     grams = tx.ngrams(tx.tokenize(F.col("text")), 1, 2)
-    return documents(spark, d).select("doc_id", F.explode(grams).alias("term"))
+    return documents(spark, d).select("doc_id", F.explode_outer(grams).alias("term")).where("term is not null")
 
 
 @query
@@ -322,7 +322,7 @@ def new_text_model(spark, d):
 
 @query
 def classify_new_texts(spark, d):
-    rows = predict(count_new(new_texts(table(spark, d, "conversations"))), new_text_model(spark, d))
+    rows = predict(count_new(new_texts(src.spread(table(spark, d, "conversations")))), new_text_model(spark, d))
     return rows.select("doc_id", "prediction")
 
 
@@ -391,7 +391,7 @@ def report_averages(spark, d):
 
 @query
 def sample_fixed(spark, d):
-    return sampling.sample_fixed(documents(spark, d).select("doc_id", "source", "n_chars"), SAMPLE)
+    return sampling.sample_fixed(table(spark, d, "documents").select("doc_id", "source", "n_chars"), SAMPLE)
 
 
 @query
@@ -403,7 +403,7 @@ def sample_stratified(spark, d):
 @query
 def pca_embeddings(spark, d):
     rows = geometry.pca(table(spark, d, "embeddings"), 50)
-    return rows.select("vec_id", "label", F.posexplode("scores").alias("component", "score"))
+    return rows.select("vec_id", "label", F.posexplode_outer("scores").alias("component", "score"))
 
 
 @query

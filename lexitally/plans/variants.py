@@ -94,7 +94,7 @@ def count_variants(corpus: DataFrame, variants: Sequence[Variant] = VARIANTS) ->
         )
 
     every = F.concat(*[rows(group) for group in kinds.values()])
-    return corpus.select("doc_id", "label", F.inline(every)).select("variant", "doc_id", "label", "terms")
+    return corpus.select("doc_id", "label", F.inline_outer(every)).select("variant", "doc_id", "label", "terms")
 
 
 def predict_variants(train: DataFrame, test: DataFrame, variants: Sequence[Variant] = VARIANTS) -> DataFrame:

@@ -56,6 +56,16 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, label: str = "to
     return documents.select("doc_id", "text", "lang").join(known.hint("shuffle_hash"), "doc_id")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table out to all cores if it has fewer files than cores.
+
+    Long texts make narrow stages CPU-heavy, and one small file is one task. A
+    table in many files is returned as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def split_column(doc_id: Column, parts: int = 5) -> Column:
     """Hold-out split: one part in `parts` is the test side, the rest trains."""
     return F.when(F.pmod(doc_id, F.lit(parts)) == 0, "test").otherwise("train")
