@@ -15,14 +15,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitally.operators.terms import attach, long_rows, smooth_idf, term_stats, with_totals
+from lexitally.operators.terms import is_small, long_rows, lookup, smooth_idf, term_stats, with_totals
 from lexitally.sources.stage import stage
 
-# A vocabulary up to this many terms is looked up in a broadcast, if its terms
-# together are below BROADCAST_CHARS; the tables are counted before.
-BROADCAST_TERMS = 1_000_000
-BROADCAST_CHARS = 64_000_000
-
 
 @dataclass(frozen=True)
 class NaiveBayesModel:
@@ -55,9 +50,7 @@ class NaiveBayesModel:
         return model._sized(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/terms"))
 
     def _sized(self, classes: DataFrame, terms: DataFrame) -> NaiveBayesModel:
-        size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
-        small = size[0] <= BROADCAST_TERMS and size[1] <= BROADCAST_CHARS
-        return replace(self, classes=classes, terms=terms, small=small)
+        return replace(self, classes=classes, terms=terms, small=is_small(terms))
 
     def priors(self) -> DataFrame:
         """Long form: (label, n, log_prior)."""
@@ -127,13 +120,16 @@ def _tfidf_stats(counted, stats, n_docs, labels, by) -> DataFrame:
     The weight of a term is the same in every text, so the sum over texts is
     weight x sum(tf / norm): only one norm per text has to be joined back, on
     the document key, and no weighted copy of the long table is shuffled.
+    The weights are written out once, to be sized and then read twice.
     """
     keys = [*by, "term"]
     idf = with_totals(stats.select(*keys, "df"), n_docs, by).select(
         *keys, "df", smooth_idf(F.col("n_docs"), F.col("df")).alias("weight")
     )
+    idf = stage(idf)
     rows = long_rows(counted.select(*by, "doc_id", "terms"))
-    weighted = attach(rows, idf.select(*keys, "weight"), stats.select(*keys, F.col("df").alias("uses")), keys)
+    uses = idf.select(*keys, F.col("df").alias("uses"))
+    weighted = lookup(rows, idf.select(*keys, "weight"), is_small(idf), keys, uses)
     square = F.col("tf") * F.col("weight") * F.col("tf") * F.col("weight")
     norms = weighted.groupBy(*by, "doc_id").agg(F.sqrt(F.sum(square)).alias("norm"))
     share = F.col("tf") / F.col("norm")
@@ -158,11 +154,7 @@ def predict(counted: DataFrame, model: NaiveBayesModel) -> DataFrame:
     carried = [c for c in keep if c not in (*by, "doc_id")]
     rows = long_rows(counted.select(*by, "doc_id", "terms"))
     table = model.terms.select(*keys, "weight", *[f"log_prob_{c}" for c in labels])
-    if model.small:
-        matched = rows.join(F.broadcast(table), keys)
-    else:
-        uses = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("uses"))
-        matched = attach(rows, table, uses, keys)
+    matched = lookup(rows, table, model.small, keys)
 
     value = F.col("tf") * F.col("weight")
     parts = matched.select(

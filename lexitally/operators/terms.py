@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexitally.functions.text import count_terms
+from lexitally.sources.stage import stage
 
 # A key is heavy when it holds at least 1/HEAVY_SHARE of all rows, or its length
 # in units of UNIT_CHARS times as much. Shares sum to 1, so whatever the data
@@ -23,6 +24,11 @@ from lexitally.functions.text import count_terms
 HEAVY_SHARE = 10_000
 UNIT_CHARS = 256
 
+# A term table is broadcast whole only after it was counted and found to have at
+# most this many rows and characters.
+BROADCAST_TERMS = 1_000_000
+BROADCAST_CHARS = 64_000_000
+
 
 def count_documents(df: DataFrame, terms: Column, keep: Sequence[str] = ("doc_id", "label")) -> DataFrame:
     """Counted documents: the kept columns plus `terms` as (term, tf) pairs."""
@@ -103,11 +109,28 @@ def attach(rows: DataFrame, table: DataFrame, uses: DataFrame, on: Sequence[str]
     return near.unionByName(far)
 
 
+def is_small(table: DataFrame) -> bool:
+    """Whether a staged term table may be broadcast whole."""
+    rows, chars = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    return rows <= BROADCAST_TERMS and chars <= BROADCAST_CHARS
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, small: bool, on: Sequence[str] = ("term",), uses: DataFrame | None = None
+) -> DataFrame:
+    """Inner join of long rows with a term table: one broadcast if the table is
+    `small`, else by `attach`. `uses` counts the rows per key when already known."""
+    if small:
+        return rows.join(F.broadcast(table), list(on))
+    if uses is None:
+        uses = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("uses"))
+    return attach(rows, table, uses, on)
+
+
 def known_counts(counted: DataFrame, terms: DataFrame) -> DataFrame:
     """Counts against a fixed vocabulary; unseen terms are dropped."""
-    rows = long_rows(counted)
-    uses = rows.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    return attach(rows, terms.select("term"), uses)
+    known = stage(terms.select("term"))
+    return lookup(long_rows(counted), known, is_small(known))
 
 
 def smooth_idf(n_docs: Column, df: Column) -> Column:
@@ -127,9 +150,9 @@ def tfidf(counted: DataFrame, idf: DataFrame) -> DataFrame:
 
     The window works on one document at a time, never on a shared key.
     """
+    weights = stage(idf.select("term", "weight"))
     rows = long_rows(counted.select("doc_id", "terms"))
-    uses = rows.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    raw = attach(rows, idf.select("term", "weight"), uses).select(
+    raw = lookup(rows, weights, is_small(weights)).select(
         "doc_id", "term", (F.col("tf") * F.col("weight")).alias("raw")
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))

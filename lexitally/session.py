@@ -13,6 +13,9 @@ def build_session(app: str = "lexitally", master: str | None = None, **settings:
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A partition of texts grows many times over when its terms are counted,
+        # so small ones are not merged as eagerly as rows that stay small.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
