@@ -336,21 +336,28 @@ def classify_new_texts_stream(spark, d):
     return spark.read.parquet(f"{run}/sink").select("doc_id", "prediction")
 
 
-def linear_head():
-    """A fixed linear model: weight of entry i for class c is ((7i + 13c) mod 11 - 5) / 10."""
-    i, c = np.arange(WIDTH)[:, None], np.arange(HEAD_CLASSES)[None, :]
-    weights = ((7 * i + 13 * c) % 11 - 5) / 10.0
+def linear_head(width: int, classes: int) -> Callable:
+    """A fixed linear model: weight of entry i for class c is ((7i + 13c) mod 11 - 5) / 10.
 
-    def score(vectors: np.ndarray) -> np.ndarray:
-        return vectors.astype(np.float64) @ weights
+    The inner functions travel to the workers by value, so the package need not
+    be installed there.
+    """
 
-    return score
+    def make_model():
+        i, c = np.arange(width)[:, None], np.arange(classes)[None, :]
+        weights = ((7 * i + 13 * c) % 11 - 5) / 10.0
+        return lambda vectors: vectors.astype(np.float64) @ weights
+
+    return make_model
 
 
 @query
 def batch_score_vectors(spark, d):
     rows = scoring.score_vectors(
-        table(spark, d, "embeddings"), linear_head, WIDTH, return_type=ArrayType(DoubleType())
+        table(spark, d, "embeddings"),
+        linear_head(WIDTH, HEAD_CLASSES),
+        WIDTH,
+        return_type=ArrayType(DoubleType()),
     )
     scores = [F.round(F.get("scores", F.lit(c)), 6).alias(f"score_{c}") for c in range(HEAD_CLASSES)]
     return rows.select("vec_id", *scores, "prediction")

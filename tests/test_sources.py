@@ -56,20 +56,23 @@ def test_spread_leaves_many_files_alone(spark, tmp_path):
 
 
 def length_model():
-    def score(texts):
-        sizes = np.array([[len(t.split())] for t in texts], dtype=np.float32)
-        return np.hstack([2.5 - sizes, sizes - 2.5])
+    def make_model():
+        def score(texts):
+            sizes = np.array([[len(t.split())] for t in texts], dtype=np.float32)
+            return np.hstack([2.5 - sizes, sizes - 2.5])
 
-    return score
+        return score
+
+    return make_model
 
 
 def test_text_scoring(spark):
     df = spark.createDataFrame([(1, "one two three"), (2, "one"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.prediction for r in score_texts(df, length_model).collect()}
+    got = {r.doc_id: r.prediction for r in score_texts(df, length_model()).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
-    cut = {r.doc_id: r.prediction for r in score_texts(df, length_model, max_tokens=2).collect()}
+    cut = {r.doc_id: r.prediction for r in score_texts(df, length_model(), max_tokens=2).collect()}
     assert cut == {1: 0, 2: 0, 3: 0}
-    assert len(embed_texts(df, length_model).first().embedding) == 2
+    assert len(embed_texts(df, length_model()).first().embedding) == 2
 
 
 def test_stream_equals_batch(spark):
