@@ -15,18 +15,21 @@ CORPUS_LABEL = "label_sexist"
 CORPUS_CLASSES = ("not sexist", "sexist")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType = CORPUS_SCHEMA) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | StructType = CORPUS_SCHEMA, multi_line: bool = True
+) -> DataFrame:
     """CSV with a header; quoted fields may span lines and double their quotes.
 
     The schema is stated, so the files are read once, and checked against the
-    header. One file is one task because lines may be quoted: keep large
-    corpora in many files, or convert them with `write_corpus`.
+    header. While quoted fields may span lines a file cannot be split: keep a
+    large corpus in many files, or set `multi_line` to False if no text in it
+    holds a line break.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def staging_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute `df` once into the checkpoint folder and read it from there."""
-    staging_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute `df` once into a table in the staging folder and read it from there.
+
+    Parquet rather than a checkpoint of rows: later jobs read only the columns
+    and variants they use, and Spark knows the size of the table.
+    """
+    spark = df.sparkSession
+    path = f"{staging_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -38,11 +38,6 @@ def classify_stream(
     )
 
 
-def read_scored(stream_sink: DataFrame) -> DataFrame:
-    """The scored rows without the batch folder column."""
-    return stream_sink.drop("batch")
-
-
 def classify_stream_pipeline(
     texts: DataFrame, model: PipelineModel, sink: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
