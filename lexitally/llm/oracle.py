@@ -46,13 +46,13 @@ windows AS (
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
 least AS (SELECT key, min(doc_id) AS first FROM windows GROUP BY key),
 covered AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos
   FROM windows JOIN least USING (key) WHERE doc_id > first),
-gone AS (SELECT doc_id, list(at) AS gone FROM covered GROUP BY doc_id),
+gone AS (SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id),
 left_over AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS kept
-  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w) p
-  ANTI JOIN covered c USING (doc_id, at) GROUP BY doc_id)
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w) p
+  ANTI JOIN covered c USING (doc_id, pos) GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN gone g ON w.doc_id = g.doc_id LEFT JOIN left_over l ON w.doc_id = l.doc_id"""
@@ -78,8 +78,8 @@ five AS (
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
 twice AS (SELECT doc_id, key FROM five GROUP BY doc_id, key HAVING count(*) > 1),
 repeats AS (
-  SELECT doc_id, count(DISTINCT at) AS n
-  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS at FROM five JOIN twice USING (doc_id, key)) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT pos) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM five JOIN twice USING (doc_id, key)) GROUP BY doc_id),
 f AS (
   SELECT w.doc_id, lang, len(words)::BIGINT AS n_words,
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
