@@ -34,4 +34,24 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Tables this process has staged and not yet released.
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete the tables staged so far, but for those that `keep` still reads; how many went.
+
+    To be called between jobs, when results that came from staged tables have
+    been written or are no longer wanted.
+    """
+    used = "\n".join(keep.inputFiles()) if keep is not None else ""
+    gone = [path for path in _STAGED if path.rpartition("/")[2] not in used]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _STAGED.remove(path)
+    return len(gone)
