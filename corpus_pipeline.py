@@ -1,4 +1,7 @@
-"""Documents to training sequences: quality, near duplicates, passages, personal data, packing."""
+"""Documents to training sequences: quality, near duplicates, passages, personal data, packing.
+
+A stage first deletes what earlier stages have staged, unless its input reads it.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexitally.llm import packing, pseudonyms, quality, simhash, substrings
 from lexitally.llm.common import stage, table
 from lexitally.llm.queries import KEY
+from lexitally.sources.stage import release
 
 # SQL has neither the fingerprints nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -20,21 +24,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    release(spark, keep=docs)
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a document of smaller id has too are cut out."""
+    release(spark, keep=docs)
     return substrings.without_repeats(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms."""
+    release(spark, keep=docs)
     return pseudonyms.pseudonymise(docs, KEY, counts=False)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, with their ids."""
+    release(spark, keep=docs)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

@@ -182,6 +182,8 @@ def judged(rows: DataFrame, cutoffs: DataFrame, risk: Risk = Risk()) -> DataFram
     wide = cutoffs.groupBy("stratum").agg(
         *[F.min(F.when(F.col("rule") == rule.name, F.col("cutoff"))).alias(f"_{rule.name}") for rule in risk.rules]
     )
+    # Written, so that Spark knows its size: few strata are sent to the rows, many are joined.
+    wide = stage(wide)
     met = rows.join(wide, F.col(risk.strata).eqNullSafe(F.col("stratum")), "left")
     fails = F.lit(False)
     for rule in risk.rules:

@@ -30,6 +30,7 @@ PREFIX = 16
 # A larger group of suffixes is not built in one task.
 GROUP = 1_000
 CHUNK = 65_536
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,39 +207,48 @@ def _group_repeats(dealt: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "uid long, first int, last int, doc_id long, h1 long, h2 long")
 
 
-def _kept(rows: DataFrame, window: int) -> DataFrame:
-    """(_rep, n_removed, kept_sha, kept_blob) of texts with repeated windows."""
+def _cut(rows: DataFrame, window: int, columns: list[str], schema: str) -> DataFrame:
+    """The rows without their repeated windows: the wanted `columns`, of which text, n_removed and kept_sha256 are made here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            given = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             found = []
-            for blob, runs in zip(batch.column(1), batch.column(2), strict=True):
-                words = unpack(blob.as_py()).split()
-                edges = np.zeros(len(words) + 1, dtype=np.int64)
-                for entry in runs.as_py():
-                    edges[entry["first"]] += 1
-                    edges[min(len(words), entry["last"] + window)] -= 1
-                gone = np.cumsum(edges[:-1]) > 0
-                kept = b" ".join(words[i] for i in np.flatnonzero(~gone).tolist())
-                found.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), pack(kept)))
-            columns = list(zip(*found, strict=True)) if found else [()] * 3
-            kinds = [pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                names=["_rep", "_removed", "_kept_sha", "_kept_blob"],
-            )
+            for blob, copy, runs, n, sha in zip(*(given[c] for c in ("_blob", "_copy", "_cuts", "_n", "_sha")), strict=True):
+                blob, n, sha = blob.as_py(), n.as_py(), sha.as_py()
+                if copy.as_py():
+                    found.append(("", n, EMPTY_SHA))
+                elif not runs.is_valid:
+                    text = unpack(blob).decode("utf-8", "surrogatepass") if blob is not None and "text" in columns else None
+                    found.append((text, 0, sha))
+                else:
+                    words = unpack(blob).split()
+                    edges = np.zeros(len(words) + 1, dtype=np.int64)
+                    for entry in runs.as_py():
+                        edges[entry["first"]] += 1
+                        edges[min(len(words), entry["last"] + window)] -= 1
+                    gone = np.cumsum(edges[:-1]) > 0
+                    kept = b" ".join(words[i] for i in np.flatnonzero(~gone).tolist())
+                    found.append((kept.decode("utf-8", "surrogatepass"), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+            texts, removed, shas = zip(*found, strict=True) if found else ((), (), ())
+            given |= {
+                "text": pa.array(texts, pa.string()),
+                "n_removed": pa.array(removed, pa.int64()),
+                "kept_sha256": pa.array(shas, pa.string()),
+            }
+            given["n_words"] = given["_n"]
+            yield pa.RecordBatch.from_arrays([given[c] for c in columns], names=columns)
 
-    return rows.mapInArrow(run, "_rep long, _removed long, _kept_sha string, _kept_blob binary")
+    return rows.mapInArrow(run, schema)
 
 
-def find_repeats(
-    docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP
-) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows with `_copy` and `_rep`, and what is left of texts with repeats.
+def find_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+    """The sketched rows with `_copy` (goes as a whole) and `_cuts` (runs of repeated windows, or null).
 
     Texts of equal words are one text from the start: all but those of the
     smallest id are repeats as a whole, if they are long enough for a window.
+    Packed texts move twice: to their anchors, and to their cuts.
     """
     rows = stage(_sketched(ship(docs), window, prefix))
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("_n") >= window))
@@ -263,17 +273,14 @@ def find_repeats(
     least = crowded.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     behind = crowded.join(least, ["h1", "h2"]).where(F.col("doc_id") > F.col("least")).select("uid", "first", "last")
     runs = judged.where(F.col("h1").isNull()).select("uid", "first", "last").unionByName(behind)
-    covered = runs.groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    left = _kept(rows.select("_uid", "_blob").join(covered, "_uid"), window)
-    marked = rows.join(first, "_digest", "left").withColumn(
-        "_copy", F.coalesce((F.col("doc_id") > F.col("_first_id")) & (F.col("_n") >= window), F.lit(False))
-    )
+    covered = runs.groupBy(F.col("uid").alias("_rep")).agg(F.collect_list(F.struct("first", "last")).alias("_cuts"))
     # Rows without an id compare with nothing.
-    marked = marked.withColumn("_rep", F.when(F.col("doc_id").isNotNull() & (F.col("_n") >= window), F.col("_rep")))
-    return marked, left
-
-
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+    known = rows.where(F.col("doc_id").isNotNull() & (F.col("_n") >= window)).select("_uid", "doc_id", "_digest")
+    placed = known.join(first, "_digest").withColumn("_copy", F.col("doc_id") > F.col("_first_id"))
+    whole = placed.where("_copy").select("_uid", "_copy", F.lit(None).cast(covered.schema["_cuts"].dataType).alias("_cuts"))
+    parts = placed.where("NOT _copy").join(covered, "_rep").select("_uid", "_copy", "_cuts")
+    cuts = whole.unionByName(parts)
+    return rows.join(cuts, "_uid", "left").withColumn("_copy", F.coalesce("_copy", F.lit(False)))
 
 
 def repeat_report(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
@@ -282,35 +289,21 @@ def repeat_report(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, g
     Null texts have no words. Rows with a null id lose nothing and cause no loss.
     Rows of equal id are no repeats of each other. An empty table gives no rows.
     """
-    marked, left = find_repeats(docs.select("doc_id", "text"), window, prefix, group)
-    met = marked.select("doc_id", "_n", "_sha", "_copy", "_rep").join(left.drop("_kept_blob"), "_rep", "left")
-    return met.select(
-        "doc_id",
-        F.col("_n").alias("n_words"),
-        F.when(F.col("_copy"), F.col("_n")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("_copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("_kept_sha", "_sha")).alias("kept_sha256"),
+    marked = find_repeats(docs.select("doc_id", "text"), window, prefix, group)
+    # A text that loses nothing is not needed again.
+    blob = F.when(F.col("_cuts").isNotNull(), F.col("_blob")).alias("_blob")
+    marked = marked.select("doc_id", "_n", "_sha", "_copy", "_cuts", blob)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _cut(
+        marked,
+        window,
+        ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string",
     )
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """All rows and columns; texts without repeats as they were, others as their kept words, joined by spaces."""
-    marked, left = find_repeats(docs, window, prefix, group)
-    met = marked.drop("_runs", "_places", "_sha").join(left.drop("_kept_sha"), "_rep", "left")
-    met = met.withColumn("_blob", F.when(F.col("_copy"), F.lit(None)).otherwise(F.coalesce("_kept_blob", "_blob")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            texts = [
-                "" if copy.as_py() else None if blob.as_py() is None else unpack(blob.as_py()).decode("utf-8", "surrogatepass")
-                for blob, copy in zip(batch.column(0), batch.column(1), strict=True)
-            ]
-            columns = {name: batch.column(i + 2) for i, name in enumerate(batch.schema.names[2:])} | {
-                "text": pa.array(texts, pa.string())
-            }
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
-
-    names = docs.columns
-    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    marked = find_repeats(docs, window, prefix, group).drop("_runs", "_places", "_digest", "_uid")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return met.select("_blob", "_copy", *others).mapInArrow(run, schema)
+    return _cut(marked, window, docs.columns, schema)
