@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.text import let
 from lexitally.sources.stage import stage
 
-__all__ = ["ASCII_LOWER", "WORD", "let", "lower_ascii", "ship", "stage", "table", "whole_text", "words_of"]
+__all__ = ["ASCII_LOWER", "WORD", "let", "lower_ascii", "plain", "ship", "stage", "table", "whole_text", "words_of"]
 
 # A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +47,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def plain(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all but the `keep` columns under neutral names, and the way back.
+
+    So a column of a table may have any name, also one that an operator uses.
+    """
+    names = {c: c if c in keep else f"_c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def whole_text(text: str | Column = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

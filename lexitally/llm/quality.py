@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.llm.common import WORD, let, stage, whole_text, words_of
+from lexitally.llm.common import WORD, let, plain, stage, whole_text, words_of
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -209,5 +209,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     Texts are measured once and written with their measures; fitting reads the
     measures alone.
     """
+    docs, restored = plain(docs, ("doc_id", "text", risk.strata))
     rows = stage(measured(docs))
-    return judged(rows, fit_cutoffs(rows, labels, risk), risk).where("kept").select(*docs.columns)
+    return restored(judged(rows, fit_cutoffs(rows, labels, risk), risk).where("kept"))

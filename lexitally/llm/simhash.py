@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import ASCII_LOWER, ship, stage
+from lexitally.llm.common import ASCII_LOWER, plain, ship, stage
 from lexitally.llm.components import components
 
 BITS = 64
@@ -214,6 +214,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                 [*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "_fp"]
             )
 
+    docs, restored = plain(docs, ("doc_id", "text"))
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     marked = ship(docs).mapInArrow(run, ", ".join([*names, "_fp long"]))
     marked = stage(marked.withColumn("_uid", F.monotonically_increasing_id()))
@@ -222,4 +223,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     roots = components(links(entries.select("fp"), distance, crowd)).withColumnRenamed("node", "fp")
     classes = entries.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept = classes.select(F.col("first._uid").alias("_uid"))
-    return marked.join(kept, "_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(marked.join(kept, "_uid", "left_semi"))

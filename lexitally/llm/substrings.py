@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import ship, stage
+from lexitally.llm.common import plain, ship, stage
 
 WINDOW = 50
 PREFIX = 16
@@ -304,6 +304,7 @@ def repeat_report(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, g
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """All rows and columns; texts without repeats as they were, others as their kept words, joined by spaces."""
+    docs, restored = plain(docs, ("doc_id", "text"))
     marked = find_repeats(docs, window, prefix, group).drop("_runs", "_places", "_digest", "_uid")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _cut(marked, window, docs.columns, schema)
+    return restored(_cut(marked, window, docs.columns, schema))
