@@ -42,7 +42,7 @@ def compare(spark, con, folder, name):
     if len(found) != len(wanted):
         return False, f"rows {len(found)} != {len(wanted)}"
     types = dict(zip(relation.columns, map(str, relation.types)))
-    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT"}
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT", "boolean": "BOOLEAN"}
     wrong = [(c, t, types[c]) for c, t in frame.dtypes if names.get(t, t) != types[c]]
     a, b = rows(found.astype(object).where(found.notna(), None)), rows(wanted.astype(object).where(wanted.notna(), None))
     bad = [(x, y) for x, y in zip(a, b) if x != y]
