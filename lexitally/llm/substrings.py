@@ -8,7 +8,9 @@ passage. Equal passages have their anchor at the same place, so a passage is
 looked at from its anchor: rightwards along the tree, leftwards along the words
 before it. The prefix of a group is the anchor's run of words. Where so many
 share it that a group would be too large, the prefix grows to the whole passage;
-such a node has no tree below it and is reduced to its smallest document.
+such a node has no tree below it and is reduced to its smallest document. The few
+passages that hold a large share of all such rows are looked up where the rows
+are; only rows of the others meet by a shuffle.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PREFIX = 16
 # A larger group of suffixes is not built in one task.
 GROUP = 1_000
 CHUNK = 65_536
+# A passage is heavy from 1/HEAVY of all crowded rows on, so at most HEAVY of them are.
+HEAVY = 10_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,7 +100,7 @@ def _contexts(rows: DataFrame, window: int, prefix: int, group: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         names = ["key", "uid", "doc_id", "at", "low", "high", "before", "after", "h1", "h2"]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64())] * 2
         for batch in batches:
             for uid, doc_id, blob, live in zip(*(batch.column(i) for i in range(4)), strict=True):
                 uid, doc_id, words = uid.as_py(), doc_id.as_py(), unpack(blob.as_py()).split()
@@ -110,19 +114,19 @@ def _contexts(rows: DataFrame, window: int, prefix: int, group: int) -> DataFram
                         before, after = b" ".join(words[first:at]), b" ".join(words[at : last + window])
                         out.append((run_, uid, doc_id, at, at - last, at - first, before, after, None, None))
                         continue
-                    for start in range(first, last + 1):
-                        data = b" ".join(words[start : start + window])
-                        h = xxhash.xxh3_128_intdigest(data)
-                        halves = np.array([h & (2**64 - 1), h >> 64], dtype=np.uint64).view(np.int64).tolist()
-                        # The key deals these rows out evenly; they meet by their hashes later.
-                        out.append((hash((uid, start)), uid, doc_id, start, None, None, None, None, *halves))
+                    digests = b"".join(
+                        xxhash.xxh3_128_digest(b" ".join(words[start : start + window])) for start in range(first, last + 1)
+                    )
+                    halves = np.frombuffer(digests, dtype=">i8").reshape(-1, 2).T.tolist()
+                    # The key deals these rows out evenly; their windows meet by their hashes later.
+                    out.append((hash((uid, at)), uid, doc_id, first, None, None, None, None, *halves))
                 for begin in range(0, len(out), 20_000):
                     columns = zip(*out[begin : begin + 20_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return rows.select("_uid", "doc_id", "_blob", "live").mapInArrow(
         run,
-        "key long, uid long, doc_id long, at int, low int, high int, before binary, after binary, h1 long, h2 long",
+        "key long, uid long, doc_id long, at int, low int, high int, before binary, after binary, h1 array<long>, h2 array<long>",
     )
 
 
@@ -169,11 +173,11 @@ def tree_repeats(members: list[tuple], window: int = WINDOW) -> list[tuple[int,
 
 
 def _group_repeats(dealt: DataFrame, window: int) -> DataFrame:
-    """Runs (uid, first, last) of repeated windows; crowded windows pass through with their hashes."""
+    """Runs (uid, first, last) of repeated windows; runs at crowded anchors pass through with their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["uid", "first", "last", "doc_id", "h1", "h2"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         key, members = None, []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,7 +199,7 @@ def _group_repeats(dealt: DataFrame, window: int) -> DataFrame:
             rows: list[tuple] = []
             for k, uid, doc_id, at, low, high, before, after, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if before is None:
-                    rows.append((uid, at, at, doc_id, h1, h2))
+                    rows.append((uid, at, at + len(h1) - 1, doc_id, h1, h2))
                     continue
                 if k != key:
                     rows += closed()
@@ -204,7 +208,57 @@ def _group_repeats(dealt: DataFrame, window: int) -> DataFrame:
             yield batch_of(rows)
         yield batch_of(closed())
 
-    return dealt.mapInArrow(run, "uid long, first int, last int, doc_id long, h1 long, h2 long")
+    return dealt.mapInArrow(run, "uid long, first int, last int, doc_id long, h1 array<long>, h2 array<long>")
+
+
+def _split_crowded(crowded: DataFrame, heavy: dict[tuple[int, int], int]) -> DataFrame:
+    """Runs (uid, first, last) of repeated heavy windows; every other window as a row with its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "first", "last", "doc_id", "h1", "h2"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in batches:
+            out: list[tuple] = []
+            for uid, first, doc_id, h1, h2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                begin = None
+                for start, pair in enumerate(zip(h1, h2, strict=True), first):
+                    least = heavy.get(pair)
+                    if least is None:
+                        out.append((uid, start, start, doc_id, *pair))
+                    repeated = least is not None and doc_id > least
+                    if repeated and begin is None:
+                        begin = start
+                    elif not repeated and begin is not None:
+                        out.append((uid, begin, start - 1, None, None, None))
+                        begin = None
+                if begin is not None:
+                    out.append((uid, begin, first + len(h1) - 1, None, None, None))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    rows = crowded.select("uid", "first", "doc_id", "h1", "h2")
+    return rows.mapInArrow(run, "uid long, first int, last int, doc_id long, h1 long, h2 long")
+
+
+def _crowded_repeats(crowded: DataFrame) -> DataFrame:
+    """Runs (uid, first, last) of windows at crowded anchors that a smaller document has too.
+
+    Each hash is summed up by partial counts and minima. At most HEAVY hashes
+    reach 1/HEAVY of the rows, so those visit the driver and go to the rows; the
+    rows of the rest meet by hash, where no hash has many.
+    """
+    windows = crowded.select("doc_id", F.inline(F.arrays_zip("h1", "h2")))
+    counts = windows.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+    counts = stage(counts.where("least < most").drop("most"))
+    total = crowded.agg(F.coalesce(F.sum(F.size("h1")), F.lit(0))).first()[0]
+    heavy = {(r.h1, r.h2): r.least for r in counts.where(F.col("n") * HEAVY >= total).toLocalIterator()}
+    split = stage(_split_crowded(crowded, heavy))
+    light = counts.where(F.col("n") * HEAVY < total).select("h1", "h2", "least")
+    behind = split.where(F.col("h1").isNotNull()).join(light, ["h1", "h2"]).where(F.col("doc_id") > F.col("least"))
+    runs = split.where(F.col("h1").isNull())
+    return runs.select("uid", "first", "last").unionByName(behind.select("uid", "first", "last"))
 
 
 def _cut(rows: DataFrame, window: int, columns: list[str], schema: str) -> DataFrame:
@@ -270,9 +324,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, gr
     dealt = dealt.repartition("key").sortWithinPartitions("key")
     judged = stage(_group_repeats(dealt, window))
     crowded = judged.where(F.col("h1").isNotNull())
-    least = crowded.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    behind = crowded.join(least, ["h1", "h2"]).where(F.col("doc_id") > F.col("least")).select("uid", "first", "last")
-    runs = judged.where(F.col("h1").isNull()).select("uid", "first", "last").unionByName(behind)
+    runs = judged.where(F.col("h1").isNull()).select("uid", "first", "last").unionByName(_crowded_repeats(crowded))
     covered = runs.groupBy(F.col("uid").alias("_rep")).agg(F.collect_list(F.struct("first", "last")).alias("_cuts"))
     # Rows without an id compare with nothing.
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("_n") >= window)).select("_uid", "doc_id", "_digest")

@@ -177,10 +177,11 @@ def without_repeats(rows, window=50):
         yield d, len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone).encode())
 
 
-def test_passages(tables):
+def test_passages(tables, monkeypatch):
     for docs in tables:
         wanted = sorted(without_repeats(texts(docs)))
-        for group in (substrings.GROUP, 2):
+        for group, heavy in ((substrings.GROUP, substrings.HEAVY), (2, substrings.HEAVY), (2, 20), (2, 1)):
+            monkeypatch.setattr(substrings, "HEAVY", heavy)
             assert sorted(map(tuple, substrings.repeat_report(docs, group=group).collect())) == wanted
 
 
