@@ -94,6 +94,8 @@ def fit(
         raise ValueError(f"unknown weighting {weighting!r}")
     by, labels = tuple(by), tuple(labels)
     counted = counted.where(F.col("label").isin(*labels))
+    if weighting == "tfidf":
+        counted = stage(counted)
     classes = class_priors(counted, labels, by).withColumn("normalised", F.lit(weighting == "tfidf"))
     stats = term_stats(counted, labels, min_df, by)
     if weighting == "tfidf":
@@ -120,7 +122,8 @@ def _tfidf_stats(counted, stats, n_docs, labels, by) -> DataFrame:
     The weight of a term is the same in every text, so the sum over texts is
     weight x sum(tf / norm): only one norm per text has to be joined back, on
     the document key, and no weighted copy of the long table is shuffled.
-    The weights are written out once, to be sized and then read twice.
+    The weights are written out once, to be sized and then read twice; `counted`
+    is read twice as well and comes staged.
     """
     keys = [*by, "term"]
     idf = with_totals(stats.select(*keys, "df"), n_docs, by).select(
@@ -149,6 +152,9 @@ def predict(counted: DataFrame, model: NaiveBayesModel) -> DataFrame:
     term is still scored, by the priors, and no join back is needed.
     """
     labels, by = model.labels, model.by
+    if not model.small and not counted.isStreaming:
+        # Three parts below read it.
+        counted = stage(counted)
     keep = [c for c in counted.columns if c != "terms"]
     keys = [*by, "term"]
     carried = [c for c in keep if c not in (*by, "doc_id")]

@@ -53,14 +53,19 @@ def lexical_difference(counted: DataFrame) -> DataFrame:
     sums = lambda c: F.sum(F.when(F.col("label") == c, F.col("tf")).otherwise(0)).alias(f"n_{c}")
     docs = lambda c: F.count_if(F.col("label") == c).alias(f"docs_{c}")
     stats = rows.groupBy("term").agg(sums(0), sums(1), docs(0), docs(1))
+    # All four columns are summed: with fewer, the aggregate below would differ and be computed again.
     mass = stats.agg(
-        F.count(F.lit(1)).alias("v"), F.sum("n_0").alias("mass_0"), F.sum("n_1").alias("mass_1")
+        F.count(F.lit(1)).alias("v"),
+        F.sum("n_0").alias("mass_0"),
+        F.sum("n_1").alias("mass_1"),
+        F.sum(F.col("docs_0") + F.col("docs_1")).alias("postings"),
     )
     sizes = labelled.agg(
         F.count_if(F.col("label") == 0).alias("size_0"), F.count_if(F.col("label") == 1).alias("size_1")
     )
     smoothed = lambda c: (F.col(f"n_{c}") + 1.0) / (F.col(f"mass_{c}") + F.col("v"))
-    return with_totals(with_totals(stats, mass), sizes).select(
+    both = with_totals(with_totals(stats, mass), sizes).where(F.col("postings") > 0)
+    return both.select(
         "term",
         "n_0",
         "n_1",
@@ -72,21 +77,23 @@ def lexical_difference(counted: DataFrame) -> DataFrame:
     )
 
 
-def style_lexicon_rates(corpus: DataFrame, lexicon: Mapping[str, Sequence[str]] = STYLE_LEXICON) -> DataFrame:
-    """(label, category, hits, tokens, per_1000): words of each category per 1,000 tokens.
+def style_lexicon_rates(
+    corpus: DataFrame, lexicon: Mapping[str, Sequence[str]] = STYLE_LEXICON, by: Sequence[str] = ("label",)
+) -> DataFrame:
+    """(`by`, category, hits, tokens, per_1000): words of each category per 1,000 tokens.
 
     Words are counted inside each text against constant sets, so one row per
     text and category is summed and no token is shuffled.
     """
-    texts = corpus.select("label", tokenize(F.col("text")).alias("t"))
+    texts = corpus.select(*by, tokenize(F.col("text")).alias("t"))
 
     def category(name: str, words: list[str]) -> Column:
         hits = F.size(F.filter("t", lambda w: w.isin(words)))
         return F.struct(F.lit(name).alias("category"), hits.alias("hits"))
 
     hits = F.array(*[category(name, list(words)) for name, words in sorted(lexicon.items())])
-    rows = texts.select("label", F.size("t").alias("tokens"), F.inline_outer(hits))
-    sums = rows.groupBy("label", "category").agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
+    rows = texts.select(*by, F.size("t").alias("tokens"), F.inline_outer(hits))
+    sums = rows.groupBy(*by, "category").agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
     rate = F.coalesce(F.try_divide(1000.0 * F.col("hits"), F.col("tokens")), F.lit(0.0))
     return sums.select("*", rate.alias("per_1000"))
 

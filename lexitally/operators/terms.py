@@ -25,9 +25,9 @@ HEAVY_SHARE = 10_000
 UNIT_CHARS = 256
 
 # A term table is broadcast whole only after it was counted and found to have at
-# most this many rows and characters.
+# most this many rows and bytes.
 BROADCAST_TERMS = 1_000_000
-BROADCAST_CHARS = 64_000_000
+BROADCAST_BYTES = 64_000_000
 
 
 def count_documents(df: DataFrame, terms: Column, keep: Sequence[str] = ("doc_id", "label")) -> DataFrame:
@@ -111,8 +111,8 @@ def attach(rows: DataFrame, table: DataFrame, uses: DataFrame, on: Sequence[str]
 
 def is_small(table: DataFrame) -> bool:
     """Whether a staged term table may be broadcast whole."""
-    rows, chars = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
-    return rows <= BROADCAST_TERMS and chars <= BROADCAST_CHARS
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES
 
 
 def lookup(
@@ -130,7 +130,8 @@ def lookup(
 def known_counts(counted: DataFrame, terms: DataFrame) -> DataFrame:
     """Counts against a fixed vocabulary; unseen terms are dropped."""
     known = stage(terms.select("term"))
-    return lookup(long_rows(counted), known, is_small(known))
+    small = is_small(known)
+    return lookup(long_rows(counted if small else stage(counted)), known, small)
 
 
 def smooth_idf(n_docs: Column, df: Column) -> Column:
@@ -151,8 +152,9 @@ def tfidf(counted: DataFrame, idf: DataFrame) -> DataFrame:
     The window works on one document at a time, never on a shared key.
     """
     weights = stage(idf.select("term", "weight"))
-    rows = long_rows(counted.select("doc_id", "terms"))
-    raw = lookup(rows, weights, is_small(weights)).select(
+    small = is_small(weights)
+    counted = counted.select("doc_id", "terms")
+    raw = lookup(long_rows(counted if small else stage(counted)), weights, small).select(
         "doc_id", "term", (F.col("tf") * F.col("weight")).alias("raw")
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))

@@ -39,7 +39,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark, d) -> DataFrame:
-    return src.spread(table(spark, d, "documents"))
+    return table(spark, d, "documents")
 
 
 def corpus(spark, d) -> DataFrame:
@@ -52,6 +52,11 @@ def split_corpus(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def words_of(spark, d, high: int = 1) -> DataFrame:
+    """Counted documents, all of them."""
+    return vs.counted(documents(spark, d), vs.Variant("words", high=high), ("doc_id",))
+
+
+def labelled_words(spark, d, high: int = 1) -> DataFrame:
     """Counted documents of the labelled corpus."""
     return vs.counted(corpus(spark, d), vs.Variant("words", high=high))
 
@@ -64,7 +69,7 @@ def written_label(spark, d) -> DataFrame:
     """All documents with the class as text, null where there is none."""
     labels = table(spark, d, "labels").select("doc_id", "toxic")
     written = F.when(F.col("toxic") == 1, POSITIVE).when(F.col("toxic") == 0, NEGATIVE)
-    return table(spark, d, "documents").join(labels.hint("shuffle_hash"), "doc_id", "left").select(
+    return table(spark, d, "documents").join(labels, "doc_id", "left").select(
         "doc_id", "text", written.alias("written")
     )
 
@@ -98,9 +103,8 @@ def encode_label(spark, d):
 
 @query
 def null_text_to_empty(spark, d):
-    # Unlabelled documents count as missing texts here.
-    text = F.when(F.col("written").isNotNull(), F.col("text"))
-    return written_label(spark, d).select("doc_id", tx.empty_if_null(text).alias("text"))
+    # The written class of a document without a label is a null text.
+    return written_label(spark, d).select("doc_id", tx.empty_if_null(F.col("written")).alias("text"))
 
 
 @query
@@ -322,7 +326,7 @@ def new_text_model(spark, d):
 
 @query
 def classify_new_texts(spark, d):
-    rows = predict(count_new(new_texts(src.spread(table(spark, d, "conversations")))), new_text_model(spark, d))
+    rows = predict(count_new(new_texts(table(spark, d, "conversations"))), new_text_model(spark, d))
     return rows.select("doc_id", "prediction")
 
 
@@ -470,12 +474,12 @@ def discriminative_words(spark, d):
 
 @query
 def top_ngrams_by_class(spark, d):
-    return lexical.top_ngrams_by_class(words_of(spark, d, high=2))
+    return lexical.top_ngrams_by_class(labelled_words(spark, d, high=2))
 
 
 @query
 def lexical_difference(spark, d):
-    rows = lexical.lexical_difference(words_of(spark, d))
+    rows = lexical.lexical_difference(labelled_words(spark, d))
     return rows.withColumns(
         {c: F.round(c, 8) for c in ("rate_0", "rate_1", "log_ratio", "presence_0", "presence_1")}
     )
@@ -483,8 +487,8 @@ def lexical_difference(spark, d):
 
 @query
 def style_lexicon_rates(spark, d):
-    english = corpus(spark, d).where(F.col("lang") == "en")
-    return lexical.style_lexicon_rates(english).withColumn("per_1000", F.round("per_1000", 6))
+    rows = lexical.style_lexicon_rates(corpus(spark, d), by=("lang", "label"))
+    return rows.withColumn("per_1000", F.round("per_1000", 6))
 
 
 @query

@@ -236,6 +236,10 @@ TF_2 = f"""WITH {CORPUS},
 tf AS (SELECT doc_id, label, term, count(*) AS tf FROM (
   SELECT doc_id, label, unnest({pairs('t')}) AS term FROM (SELECT doc_id, label, {tokens()} AS t FROM corpus)) GROUP BY ALL)"""
 
+ALL_TF = f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens()}) AS term FROM documents) GROUP BY ALL)"""
+ALL_TF_2 = f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest({pairs('t')}) AS term FROM (SELECT doc_id, {tokens()} AS t FROM documents)) GROUP BY ALL)"""
+
 CENTROIDS = """parts AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
 means AS (SELECT label, dim, avg(x) AS value FROM parts GROUP BY ALL)"""
 APART = f"""{CENTROIDS},
@@ -268,14 +272,16 @@ def stem_vocabulary() -> str:
 def style() -> str:
     lexicon = ", ".join(f"('{c}', '{w}')" for c, ws in STYLE_LEXICON.items() for w in ws)
     return f"""WITH {CORPUS},
-words AS (SELECT label, unnest({tokens()}) AS word FROM corpus WHERE lang = 'en'),
+texts AS (SELECT lang, label, {tokens()} AS t FROM corpus),
+words AS (SELECT lang, label, unnest(t) AS word FROM texts),
 lexicon(category, word) AS (VALUES {lexicon}),
-totals AS (SELECT label, count(*) AS tokens FROM words GROUP BY label),
-hits AS (SELECT label, category, count(*) AS hits FROM words JOIN lexicon USING (word) GROUP BY ALL),
-cells AS (SELECT label, category, tokens FROM totals CROSS JOIN (SELECT DISTINCT category FROM lexicon))
-SELECT label, category, coalesce(hits, 0)::BIGINT AS hits, tokens::BIGINT AS tokens,
-       round(1000.0::DOUBLE * coalesce(hits, 0) / tokens, 6) AS per_1000
-FROM cells LEFT JOIN hits USING (label, category)"""
+totals AS (SELECT lang, label, sum(len(t)) AS tokens FROM texts GROUP BY ALL),
+hits AS (SELECT lang, label, category, count(*) AS hits FROM words JOIN lexicon USING (word) GROUP BY ALL),
+cells AS (SELECT lang, label, category, tokens FROM totals CROSS JOIN (SELECT DISTINCT category FROM lexicon))
+SELECT cells.lang, cells.label, cells.category, coalesce(hits, 0)::BIGINT AS hits, tokens::BIGINT AS tokens,
+       coalesce(round(1000.0::DOUBLE * coalesce(hits, 0) / nullif(tokens, 0), 6), 0) AS per_1000
+FROM cells LEFT JOIN hits ON cells.lang IS NOT DISTINCT FROM hits.lang AND cells.label IS NOT DISTINCT FROM hits.label
+  AND cells.category = hits.category"""
 
 
 def punctuation() -> str:
@@ -316,7 +322,7 @@ def statements() -> dict[str, str]:
         "encode_label": f"""WITH {WRITTEN} SELECT doc_id, written,
             CASE written WHEN 'not toxic' THEN 0 WHEN 'toxic' THEN 1 END AS label FROM written""",
         "null_text_to_empty": f"""WITH {WRITTEN} SELECT doc_id,
-            CASE WHEN written IS NULL THEN '' ELSE text END AS text FROM written""",
+            coalesce(written, '') AS text FROM written""",
         "drop_null_pairs": f"WITH {WRITTEN} SELECT doc_id, written FROM written WHERE text IS NOT NULL AND written IS NOT NULL",
         "head_rows": f"WITH {CORPUS} SELECT doc_id, text, label FROM corpus ORDER BY doc_id LIMIT 5",
         "class_balance": """SELECT toxic AS label, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total,
@@ -338,18 +344,18 @@ def statements() -> dict[str, str]:
         "tokenize_words": text_query(tokens()),
         "ngrams_1_2": f"SELECT doc_id, unnest({pairs('t')}) AS term FROM (SELECT doc_id, {tokens()} AS t FROM documents)",
         "truncate_tokens": text_query(f"{tokens()}[1:128]"),
-        "vocabulary": f"{TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
-        "vocabulary_min_df": f"{TF_2} SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3",
-        "term_counts": f"{TF} SELECT doc_id, term, tf FROM tf",
-        "term_counts_known": f"""{TF} SELECT doc_id, term, tf FROM tf
-            WHERE doc_id % 5 = 0 AND term IN (SELECT term FROM tf WHERE doc_id % 5 <> 0)""",
-        "term_totals": f"{TF} SELECT term, sum(tf)::BIGINT AS n FROM tf GROUP BY term",
+        "vocabulary": f"{ALL_TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
+        "vocabulary_min_df": f"{ALL_TF_2} SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3",
+        "term_counts": f"{ALL_TF} SELECT doc_id, term, tf FROM tf",
+        "term_counts_known": f"""{TF}, known AS MATERIALIZED (SELECT DISTINCT term FROM tf WHERE doc_id % 5 <> 0)
+            SELECT doc_id, term, tf FROM tf JOIN known USING (term) WHERE doc_id % 5 = 0""",
+        "term_totals": f"{ALL_TF} SELECT term, sum(tf)::BIGINT AS n FROM tf GROUP BY term",
         "top_words_in_class": f"""{TF} SELECT term, sum(tf)::BIGINT AS n FROM tf
             WHERE label = 1 AND term NOT IN {words_list(matchable(ENGLISH_STOPWORDS))}
             GROUP BY term ORDER BY n DESC, term LIMIT 30""",
-        "idf_weights": f"""{TF} SELECT term, count(*) AS df,
-            round(ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1, 6) AS weight FROM tf GROUP BY term""",
-        "tfidf_l2": f"""{TF}, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS weight FROM tf GROUP BY term),
+        "idf_weights": f"""{ALL_TF} SELECT term, count(*) AS df,
+            round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS weight FROM tf GROUP BY term""",
+        "tfidf_l2": f"""{ALL_TF}, idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS weight FROM tf GROUP BY term),
             raw AS (SELECT doc_id, term, tf * weight AS x FROM tf JOIN idf USING (term)),
             norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY doc_id)
             SELECT doc_id, term, round(x / norm, 6) AS value FROM raw JOIN norms USING (doc_id)""",

@@ -51,22 +51,11 @@ def as_corpus(
 def labelled_documents(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, text, lang, label) of the documents that carry a label.
 
-    The narrow label side builds the hash table of a partition and the texts
-    stream past it: texts are shuffled once, never sorted, and the result stays
-    partitioned by `doc_id` for per-document work downstream.
+    How the two meet is left to Spark, which knows their sizes: labels that are
+    small are sent to the texts, which then stay where they are.
     """
     known = labels.select("doc_id", F.col(label).alias("label"))
-    return documents.select("doc_id", "text", "lang").join(known.hint("shuffle_hash"), "doc_id")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table out to all cores if it has fewer files than cores.
-
-    Long texts make narrow stages CPU-heavy, and one small file is one task. A
-    table in many files is returned as it is: nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return documents.select("doc_id", "text", "lang").join(known, "doc_id")
 
 
 def split_column(doc_id: Column, parts: int = 5) -> Column:

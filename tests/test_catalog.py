@@ -4,6 +4,7 @@ import pytest
 from check_oracle import compare, connect
 
 import __spark_entry__ as entry
+from lexitally.plans import catalog, oracle
 
 SMALL = "/root/testdata/sf0.001"
 ROWS_ONLY = {"pca_embeddings", "points_2d", "text_points"}
@@ -21,7 +22,7 @@ def test_query(spark, con, name):
 
 
 def test_twins_cover_the_catalog():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.REGISTRY) - set(oracle.statements()) == ROWS_ONLY
 
 
 def test_entry(spark):

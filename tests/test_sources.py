@@ -49,12 +49,6 @@ def test_corpus_table_prunes_by_split(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
-def test_spread_leaves_many_files_alone(spark, tmp_path):
-    spark.range(100).repartition(20).write.parquet(str(tmp_path / "many"))
-    many = spark.read.parquet(str(tmp_path / "many"))
-    assert src.spread(many) is many
-
-
 def length_model():
     def make_model():
         def score(texts):
