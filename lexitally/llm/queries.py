@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexitally.llm import bit_sliced, bpe, packing, pseudonyms, quality, secrets, sharding, simhash, substrings, url_filter
+from lexitally.llm import (
+    bit_sliced,
+    bpe,
+    collocations,
+    packing,
+    pseudonyms,
+    quality,
+    resampling,
+    secrets,
+    sharding,
+    simhash,
+    substrings,
+    url_filter,
+)
 from lexitally.llm.common import Query, table
 
 REGISTRY: dict[str, Query] = {}
@@ -85,3 +98,13 @@ def op9_byte_bpe(spark, d):
 @query
 def op10_near_duplicates(spark, d):
     return simhash.near_duplicates(documents(spark, d))
+
+
+@query
+def op12_collocations(spark, d):
+    return collocations.collocations(documents(spark, d))
+
+
+@query
+def op13_importance_resampling(spark, d):
+    return resampling.resample(documents(spark, d), table(spark, d, "benchmark"))
