@@ -10,6 +10,7 @@ from lexitally.llm import (
     bpe,
     collocations,
     packing,
+    pieces,
     pseudonyms,
     quality,
     resampling,
@@ -100,6 +101,11 @@ def op10_near_duplicates(spark, d):
     return simhash.near_duplicates(documents(spark, d))
 
 
+@query
+def op11_sentence_pieces(spark, d):
+    return pieces.encode_documents(documents(spark, d), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op12_collocations(spark, d):
     return collocations.collocations(documents(spark, d))
