@@ -30,11 +30,11 @@ from lexitally.llm.common import ASCII_LOWER, ship, stage
 SUPPORT = 100
 LONGEST = 5
 TOP = 2_000
-# Words of a shard, and bytes of text handled at once.
+# Words of a shard, and bytes of text in a row of words.
 BLOCK = 3_000_000
-BYTES_AT_ONCE = 1 << 24
+BYTES_AT_ONCE = 1 << 20
 # Bits of a bitmap.
-BITS = 1 << 26
+BITS = 1 << 24
 ROWS = 20_000
 UNKNOWN = "und"
 
@@ -103,8 +103,47 @@ def bitmap_of(marks: DataFrame) -> Bitmap:
     return Bitmap(words)
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(lang, words, ids): some texts of one language as their distinct words and the place of each word among them.
+
+    Staged, so that texts are split into words once. The words are joined by
+    spaces, the places packed; place 0 is the border of a piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+
+        def row(lang: str) -> pa.RecordBatch:
+            size.pop(lang)
+            data = BREAK.join(waiting.pop(lang)).translate(PIECES).replace(BREAK, b" \xff ")
+            numbers = Numbers()
+            ids = np.fromiter(map(numbers.__getitem__, data.split()), dtype=np.int32)
+            columns = [[lang], [b" ".join(numbers)], [ids.tobytes()]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)],
+                names=["lang", "words", "ids"],
+            )
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang, text = lang.as_py(), text.as_py()
+                if not text:
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
+                waiting.setdefault(lang, []).append(data)
+                size[lang] = size.get(lang, 0) + len(data)
+                if size[lang] >= BYTES_AT_ONCE:
+                    yield row(lang)
+        for lang in list(waiting):
+            yield row(lang)
+
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
+    return stage(docs.select(lang, "text").mapInArrow(run, "lang string, words binary, ids binary"))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
-    """The words of a task's texts, per language, in blocks of about `size` words."""
+    """A task's words, per language, in blocks of about `size` words."""
     open_ids: dict[str, list[np.ndarray]] = {}
     numbers: dict[str, Numbers] = {}
     held: dict[str, int] = {}
@@ -114,39 +153,22 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         held.pop(lang)
         return Block(lang, list(numbers.pop(lang)), ids)
 
-    def add(lang: str, texts: list[bytes]) -> None:
-        words = BREAK.join(texts).translate(PIECES).replace(BREAK, b" \xff ").split(b" ")
-        known = numbers.setdefault(lang, Numbers())
-        ids = np.fromiter((known[w] for w in words if w), dtype=np.int32)
-        open_ids.setdefault(lang, []).append(np.append(ids, np.int32(0)))
-        held[lang] = held.get(lang, 0) + len(ids) + 1
-
     for batch in batches:
-        waiting: dict[str, list[bytes]] = {}
-        size_of: dict[str, int] = {}
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            lang, text = lang.as_py(), text.as_py()
-            if not text:
-                continue
-            data = text.encode("utf-8", "surrogatepass")
-            waiting.setdefault(lang, []).append(data)
-            size_of[lang] = size_of.get(lang, 0) + len(data)
-            if size_of[lang] >= BYTES_AT_ONCE:
-                add(lang, waiting.pop(lang))
-                size_of.pop(lang)
-                if held[lang] >= size:
-                    yield close(lang)
-        for lang, texts in waiting.items():
-            add(lang, texts)
-        # The largest go first, so that all languages together stay within one block.
-        while sum(held.values()) >= size:
-            yield close(max(held, key=held.get))
+        for lang, words, ids in zip(*batch.columns, strict=True):
+            lang, words, ids = lang.as_py(), words.as_py().split(b" "), np.frombuffer(ids.as_py(), dtype=np.int32)
+            known = numbers.setdefault(lang, Numbers())
+            place = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+            open_ids.setdefault(lang, []).append(np.append(place[ids], np.int32(0)))
+            held[lang] = held.get(lang, 0) + len(ids) + 1
+            # The largest go first, so that all languages together stay within one block.
+            while sum(held.values()) >= size:
+                yield close(max(held, key=held.get))
     for lang in list(held):
         yield close(lang)
 
 
-def _per_block(docs: DataFrame, size: int, rows_of: Callable[[Block], Iterator[tuple]], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    """One narrow reading of all texts: whatever `rows_of` yields for each block, as columns of arrays."""
+def _per_block(texts: DataFrame, size: int, rows_of: Callable[[Block], Iterator[tuple]], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """One narrow reading of all words: whatever `rows_of` yields for each block, as columns of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, size):
@@ -155,7 +177,7 @@ def _per_block(docs: DataFrame, size: int, rows_of: Callable[[Block], Iterator[t
                     arrays = [pa.array(c[at : at + ROWS], t) for c, (_, t) in zip(columns, fields.values(), strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=list(fields))
 
-    return docs.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items()))
+    return texts.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items()))
 
 
 MARKS = {"slot": ("long", pa.int64()), "bits": ("long", pa.int64())}
@@ -196,7 +218,7 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
         at = at[stays]
 
 
-def _mined(docs: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
+def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
     """The union of what each shard has at its proportional support."""
 
     def rows_of(block: Block) -> Iterator[tuple]:
@@ -209,10 +231,10 @@ def _mined(docs: DataFrame, size: int, levels: tuple[int, int], totals: dict[str
             if k >= levels[0]:
                 yield slots(block.hash_at(at, k))
 
-    return bitmap_of(_per_block(docs, size, rows_of, MARKS))
+    return bitmap_of(_per_block(texts, size, rows_of, MARKS))
 
 
-def _counted(docs: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
+def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
     """Exact counts (lang, phrase, k, f) of the candidates that reach the support."""
 
     def rows_of(block: Block) -> Iterator[tuple]:
@@ -226,7 +248,7 @@ def _counted(docs: DataFrame, size: int, levels: tuple[int, int], support: int,
                     phrases = [block.phrase_at(i, k) for i in part]
                     yield [block.lang] * len(part), phrases, [k] * len(part), count[begin : begin + ROWS]
 
-    parts = _per_block(docs, size, rows_of, COUNTS)
+    parts = _per_block(texts, size, rows_of, COUNTS)
     return stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support))
 
 
@@ -261,7 +283,7 @@ def _marked(counts: DataFrame) -> Bitmap:
 def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, dict[str, int]]:
     """(lang, phrase, k, f) of all phrases of 1 to 5 words with that support, and the words of each language."""
     context = ship(docs).sparkSession.sparkContext
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text"))
+    texts = tokenised(docs)
     parts = _per_block(texts, block, _word_rows, COUNTS)
     words = stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
     # One row per language.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.text import let
 from lexitally.sources.stage import stage
 
-__all__ = ["ASCII_LOWER", "WORD", "let", "lower_ascii", "plain", "ship", "stage", "table", "whole_text", "words_of"]
+__all__ = ["ASCII_LOWER", "WORD", "bounded", "let", "lower_ascii", "plain", "ship", "stage", "table", "whole_text", "words_of"]
 
 # A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,7 @@ def ship(df: DataFrame) -> DataFrame:
     Caches of a worker live in its modules, so functions have to be imported
     there. The archive is the driver's own file; Spark sends it to executors.
     """
+    bounded(df.sparkSession)
     context = df.sparkSession.sparkContext
     if any(os.path.basename(f) == "lexitally.zip" for f in context.listFiles):
         return df
@@ -43,7 +44,24 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+# Bytes and rows that wait in one batch to Python or in one row group of a written table, per task.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 4_096,
+    "parquet.block.size": 32 << 20,
+}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower these settings of the session to the bounds, so that long texts do not fill a task's memory."""
+    for name, most in BOUNDS.items():
+        given = spark.conf.get(name, None)
+        if given is None or not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from lexitally.llm.common import ship
 
 BUFFER = 512
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 # Below this code point, a letter stays one letter when normalised and lowered.
 PLAIN_LETTERS = "İ"
 
