@@ -77,7 +77,7 @@ def class_priors(counted: DataFrame, labels: Sequence[int] = (0, 1), by: Sequenc
     sizes = counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.col("label") == c).alias(f"n_{c}") for c in labels]
     )
-    priors = [F.ln(F.col(f"n_{c}") / F.col("n_docs")).alias(f"log_prior_{c}") for c in labels]
+    priors = [F.ln(F.try_divide(f"n_{c}", "n_docs")).alias(f"log_prior_{c}") for c in labels]
     return sizes.select("*", *priors)
 
 
@@ -149,7 +149,10 @@ def predict(counted: DataFrame, model: NaiveBayesModel) -> DataFrame:
     """Score every document: score_<c> per class and the `prediction`.
 
     Each text contributes one empty row of its own, so a text without any known
-    term is still scored, by the priors, and no join back is needed.
+    term is still scored, by the priors, and no join back is needed. Other
+    columns are carried along. A `doc_id` that two texts share is an error: their
+    terms could not be told apart. A class without training texts has no prior
+    and is never predicted.
     """
     labels, by = model.labels, model.by
     if not model.small and not counted.isStreaming:
@@ -167,21 +170,25 @@ def predict(counted: DataFrame, model: NaiveBayesModel) -> DataFrame:
         *by,
         "doc_id",
         *[F.lit(None).cast(counted.schema[c].dataType).alias(c) for c in carried],
+        F.lit(0).alias("own"),
         (value * value).alias("square"),
         *[(value * F.col(f"log_prob_{c}")).alias(f"part_{c}") for c in labels],
     )
     own = counted.select(
-        *by, "doc_id", *carried, F.lit(0.0).alias("square"), *[F.lit(0.0).alias(f"part_{c}") for c in labels]
+        *by, "doc_id", *carried, F.lit(1).alias("own"), F.lit(0.0).alias("square"), *[F.lit(0.0).alias(f"part_{c}") for c in labels]
     )
     sums = (
         own.unionByName(parts)
         .groupBy(*by, "doc_id")
         .agg(
-            *[F.max(c).alias(c) for c in carried],
+            *[F.first(c, ignorenulls=True).alias(c) for c in carried],
+            F.sum("own").alias("own"),
             F.sqrt(F.sum("square")).alias("norm"),
             *[F.sum(f"part_{c}").alias(f"part_{c}") for c in labels],
         )
     )
+    repeated = F.raise_error(F.concat(F.lit("more than one text has the doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    sums = sums.withColumn("norm", F.when(F.col("own") > 1, repeated.cast("double")).otherwise(F.col("norm")))
     # A text without known terms has norm 0 and all parts 0.
     scale = F.when(F.col("normalised") & (F.col("norm") > 0), F.col("norm")).otherwise(1.0)
     scored = with_totals(sums, model.classes.select(*by, "normalised", *[f"log_prior_{c}" for c in labels]), by)

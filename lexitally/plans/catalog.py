@@ -18,7 +18,7 @@ from lexitally.operators.pipeline import fit_pipeline
 from lexitally.plans import variants as vs
 from lexitally.sources import corpus as src
 from lexitally.sources.stage import staging_folder
-from lexitally.streaming.classify import classify_stream
+from lexitally.streaming.classify import classify_stream, read_scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -337,7 +337,7 @@ def classify_new_texts_stream(spark, d):
     run = f"{staging_folder(spark)}/stream-{uuid.uuid4().hex}"
     job = classify_stream(new_texts(stream), new_text_model(spark, d), count_new, f"{run}/sink", f"{run}/state")
     job.awaitTermination()
-    return spark.read.parquet(f"{run}/sink").select("doc_id", "prediction")
+    return read_scored(spark, f"{run}/sink")
 
 
 def linear_head(width: int, classes: int) -> Callable:
