@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitally.functions.text import let
-from lexitally.operators.terms import attach, long_rows, term_stats
+from lexitally.operators.terms import BROADCAST_BYTES, attach, long_rows, lookup, term_stats
 from lexitally.sources.stage import stage
 
 MAX_CLASSES = 1_000
-MAX_SAMPLE = 2_000
 
 
 def _matrix(rows: DataFrame) -> RowMatrix:
@@ -32,10 +35,6 @@ def _signs(columns: np.ndarray) -> np.ndarray:
     return np.where(largest < 0, -1.0, 1.0)
 
 
-def _signed(columns: np.ndarray) -> np.ndarray:
-    return columns * _signs(columns)
-
-
 def pca(df: DataFrame, k: int, vector: str = "embedding", keep=("vec_id", "label")) -> DataFrame:
     """Centred principal component scores as an array column `scores`.
 
@@ -60,45 +59,106 @@ def points_2d(df: DataFrame, vector: str = "embedding", keep=("vec_id", "label")
     return scores.select(*keep, F.get("scores", F.lit(0)).alias("x"), F.get("scores", F.lit(1)).alias("y"))
 
 
-def text_components(counted: DataFrame, k: int, min_df: int = 3) -> DataFrame:
-    """Principal component scores of a sample of texts over its whole vocabulary.
+def _random_rows(terms: DataFrame, width: int, seed: int) -> DataFrame:
+    """A normal random vector per term, drawn from hashes, so that a task run again draws the same."""
+
+    def uniform(term: Column, i: Column, part: int) -> Column:
+        return (F.pmod(F.xxhash64(term, i, F.lit(part), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    normal = F.transform(
+        F.sequence(F.lit(1), F.lit(width)),
+        lambda i: F.sqrt(-2.0 * F.ln(uniform(F.col("term"), i, 0))) * F.cos(2 * math.pi * uniform(F.col("term"), i, 1)),
+    )
+    return terms.select("term", normal.alias("vector"))
+
+
+def _weighted_sums(rows: DataFrame, key: str) -> DataFrame:
+    """(key, vector): the sum of tf x vector per key, added up in each task before the shuffle."""
+    total = Summarizer.sum(F.col("v"), F.col("tf"))
+    return rows.select(key, "tf", array_to_vector("vector").alias("v")).groupBy(key).agg(vector_to_array(total).alias("vector"))
+
+
+def _gram(rows: DataFrame) -> np.ndarray:
+    """width x width products of the columns, one block per task."""
+    return _matrix(rows.select(F.col("vector").alias("row"))).computeGramianMatrix().toArray()
+
 
-    The matrix is taken with terms as rows and the sampled texts as columns.
-    The vocabulary, which may be of any size, stays distributed; only the
-    sample, at most MAX_SAMPLE texts, sets the width. Centring a term over the
-    texts is then a step within its own row. One pass over the terms adds up the
-    texts x texts products, whose eigenvectors times the roots of the
-    eigenvalues are the scores of the texts.
+def _turned(rows: DataFrame, turn: np.ndarray, key: str) -> DataFrame:
+    """Every vector times a small matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy().reshape(-1, turn.shape[0]) @ turn
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), turn.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "vector"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """The matrix that makes columns with these products orthonormal; directions of no length go to zero."""
+    values, vectors = np.linalg.eigh(gram)
+    lengths = np.where(values > values.max(initial=0.0) * 1e-14, np.sqrt(np.maximum(values, 0.0)), np.inf)
+    return (vectors / lengths)[:, ::-1]
+
+
+def text_components(
+    counted: DataFrame, k: int, min_df: int = 3, passes: int = 6, extra: int = 10, seed: int = 42
+) -> DataFrame:
+    """Principal component scores of texts over their whole vocabulary, as an array column `scores`.
+
+    Randomised subspace iteration on the centred matrix of counts. Texts and terms
+    are both rows of distributed tables, in any number: one side's vectors of
+    k + extra numbers are joined to the cells and summed for the other side, and
+    only products of the columns, (k + extra) squared, visit the driver. Centring
+    takes one vector off all texts, so the cells stay sparse. Every pass shrinks
+    what the leading components still lack by (s[k + extra + 1] / s[i]) squared:
+    the first components are exact to many digits, the last ones approximate.
+
+    Rows are told apart by themselves, so ids may be of any kind, null or
+    repeated. Signs are such that the largest score of a component is positive.
     """
-    counted = stage(counted)
-    keys = [r[0] for r in counted.select("doc_id").orderBy("doc_id").limit(MAX_SAMPLE + 1).collect()]
-    n = len(keys)
-    if n > MAX_SAMPLE:
-        raise ValueError(f"draw a sample of at most {MAX_SAMPLE} texts first")
-    spark = counted.sparkSession
-    numbered = spark.createDataFrame(list(enumerate(keys)), "at int, doc_id long")
+    width = k + extra
+    counted = stage(counted.withColumn("_row", F.monotonically_increasing_id()))
+    n = counted.count()
     known = term_stats(counted, (), min_df).select("term", F.col("df").alias("uses"))
-    rows = attach(long_rows(counted.select("doc_id", "terms")), known, known.select("term", "uses"))
-    cells = rows.join(F.broadcast(numbered), "doc_id")
-    # A term meets at most the sampled texts.
-    by_term = cells.groupBy("term").agg(
-        F.collect_list(F.struct("at", F.col("tf").cast("double"))).alias("cells"),
-        (F.sum("tf") / n).alias("mean"),
-    )
-    texts = F.sequence(F.lit(0), F.lit(n - 1))
-    centred = let(
-        F.map_from_entries("cells"),
-        lambda cell: F.transform(
-            texts, lambda i: F.coalesce(F.try_element_at(cell, i), F.lit(0.0)) - F.col("mean")
-        ),
-    )
-    matrix = _matrix(stage(by_term.select(centred.alias("row"))))
-    values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-    top = np.argsort(values)[::-1][: min(k, n)]
-    scores = _signed(vectors[:, top]) * np.sqrt(np.maximum(values[top], 0.0))
-    table = [(key, [float(v) for v in scores[i]]) for i, key in enumerate(keys)]
-    found = spark.createDataFrame(table, "doc_id long, scores array<double>")
-    return counted.drop("terms").join(F.broadcast(found), "doc_id")
+    cells = attach(long_rows(counted.select("_row", "terms")), known, known)
+    cells = stage(cells.select("_row", "term", F.col("tf").cast("double").alias("tf")))
+    terms = stage(cells.groupBy("term").agg((F.sum("tf") / max(n, 1)).alias("mean"), F.count(F.lit(1)).alias("uses")))
+    uses = terms.select("term", "uses")
+    rows, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if not rows:
+        zero = F.array_repeat(F.lit(0.0), min(k, n))
+        return counted.withColumn("scores", zero).drop("terms", "_row")
+    # Broadcast only after its size is known.
+    small = rows * width * 8 + size <= BROADCAST_BYTES
+    basis = stage(_random_rows(terms, width, seed))
+    basis = stage(_turned(basis, _orthonormal(_gram(basis)), "term"))
+
+    def texts(basis: DataFrame) -> tuple[DataFrame, Column]:
+        """Products of the texts with the basis, and what centring takes off each of them."""
+        sums = _weighted_sums(lookup(cells, basis, small, ("term",), uses), "_row")
+        mean = terms.join(basis, "term").select(F.col("mean").alias("tf"), array_to_vector("vector").alias("v"))
+        mean = mean.agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("tf")))).first()[0]
+        return sums, F.array(*[F.lit(x) for x in mean])
+
+    for _ in range(passes):
+        sums, mean = texts(basis)
+        products = sums.select("_row", F.zip_with("vector", mean, lambda a, b: a - b).alias("vector"))
+        # The products of all texts add up to nothing, so terms need no centring here.
+        back = stage(_weighted_sums(cells.join(products, "_row"), "term"))
+        basis = stage(_turned(back, _orthonormal(_gram(back)), "term"))
+    sums, mean = texts(basis)
+    none = F.array_repeat(F.lit(0.0), width)
+    every = counted.select("_row").join(sums, "_row", "left")
+    every = stage(every.select("_row", F.zip_with(F.coalesce("vector", none), mean, lambda a, b: a - b).alias("vector")))
+    values, vectors = np.linalg.eigh(_gram(every))
+    scores = stage(_turned(every, vectors[:, ::-1][:, : min(k, n)], "_row"))
+    ends = scores.select(F.posexplode("vector").alias("i", "s")).groupBy("i").agg(F.max_by("s", F.abs("s")).alias("s"))
+    signs = F.array(*[F.lit(-1.0 if r.s < 0 else 1.0) for r in ends.orderBy("i").collect()])
+    signed = scores.select("_row", F.zip_with("vector", signs, lambda a, b: a * b).alias("scores"))
+    return counted.drop("terms").join(signed, "_row").drop("_row")
 
 
 def covariance(df: DataFrame, vector: str = "embedding") -> DataFrame:

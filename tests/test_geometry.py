@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexitally.operators import geometry, terms
+from lexitally.operators import geometry
 from lexitally.plans import catalog
 from lexitally.plans import variants as vs
 
@@ -30,20 +33,44 @@ def test_pca(vectors, local):
     assert np.sqrt((scores**2).sum(axis=0)) == pytest.approx(values)
 
 
-def test_text_components(spark):
-    grams = vs.counted(catalog.corpus(spark, SMALL), vs.Variant("p", high=2))
-    rows = geometry.text_components(grams, 4).orderBy("doc_id").collect()
-    got = np.array([r.scores for r in rows])
-    cells = terms.long_rows(grams).select("doc_id", "term", "tf").collect()
-    docs = sorted({r.doc_id for r in rows})
-    by_term = {}
-    for r in cells:
-        by_term.setdefault(r.term, {})[r.doc_id] = r.tf
-    kept = [t for t, c in by_term.items() if len(c) >= 3]
-    x = np.array([[by_term[t].get(d, 0) for t in kept] for d in docs], dtype=float)
+def components_by_svd(rows, min_df):
+    """Scores by a dense decomposition; rows are lists of (term, tf)."""
+    df = Counter(t for terms_ in rows for t, _ in terms_)
+    kept = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n >= min_df))}
+    x = np.zeros((len(rows), len(kept)))
+    for i, terms_ in enumerate(rows):
+        for t, tf in terms_:
+            if t in kept:
+                x[i, kept[t]] = tf
     u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-    wanted = u[:, :4] * s[:4]
-    assert np.abs(got) == pytest.approx(np.abs(wanted), abs=1e-6)
+    scores = u * s
+    return scores * np.where(scores[np.abs(scores).argmax(axis=0), np.arange(scores.shape[1])] < 0, -1, 1)
+
+
+@pytest.mark.parametrize("limit", [geometry.BROADCAST_BYTES, 0])
+def test_text_components(spark, monkeypatch, limit):
+    """Against a dense decomposition, with terms broadcast and with terms joined."""
+    monkeypatch.setattr(geometry, "BROADCAST_BYTES", limit)
+    grams = vs.counted(catalog.corpus(spark, SMALL), vs.Variant("p", high=2)).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    rows = geometry.text_components(grams, 4, passes=12).orderBy("doc_id").collect()
+    given = [r.terms for r in grams.orderBy("doc_id").collect()]
+    wanted = components_by_svd(given, 3)[:, :4]
+    assert np.array([r.scores for r in rows]) == pytest.approx(wanted, abs=1e-6)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in grams.collect())
+
+
+def test_text_components_of_awkward_rows(spark):
+    """Repeated and null ids, texts without terms, fewer texts than components, no texts at all."""
+    cell = lambda *ws: [(w, n) for w, n in ws]
+    rows = [("a", cell(("x", 2), ("y", 1))), ("a", cell(("x", 1))), (None, []), ("b", cell(("y", 3), ("z", 1))), ("c", None)]
+    schema = "doc_id string, terms array<struct<term: string, tf: bigint>>"
+    frame = spark.createDataFrame(rows, schema)
+    found = geometry.text_components(frame, 3, min_df=1).collect()
+    wanted = components_by_svd([t or [] for _, t in rows], 1)[:, :3]
+    assert sorted(map(tuple, np.round([r.scores for r in found], 6))) == sorted(map(tuple, np.round(wanted, 6)))
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+    assert geometry.text_components(frame.limit(0), 3).collect() == []
+    assert [r.scores for r in geometry.text_components(frame, 2, min_df=9).collect()] == [[0.0, 0.0]] * 5
 
 
 def test_class_geometry(vectors, local):
