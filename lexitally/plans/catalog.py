@@ -27,6 +27,8 @@ NEGATIVE, POSITIVE = "not toxic", "toxic"
 SAMPLE = 100
 HEAD_CLASSES = 3
 WIDTH = 64
+TOKEN_BUCKETS = 30_000
+TOKEN_WIDTH = 8
 
 
 def query(fn: Query) -> Query:
@@ -367,6 +369,57 @@ def batch_score_vectors(spark, d):
     return rows.select("vec_id", *scores, "prediction")
 
 
+def small_network(classes: int | None) -> Callable:
+    """A fixed network over (ids, mask): each token's vector plus 1/128 of the sum of its text's.
+
+    Entry j of token t is ((t (2j + 3) + 7j) mod 31 - 15) / 16. With `classes`, the
+    first token's vector goes through a linear head, else all vectors are given.
+    All weights are fractions of powers of two, so results are exact in any order.
+    """
+
+    def make_model():
+        j = np.arange(TOKEN_WIDTH)
+
+        def model(ids, mask):
+            own = ((ids[:, :, None] * (2 * j + 3) + 7 * j) % 31 - 15) / 16.0
+            hidden = own + (own * mask[:, :, None]).sum(axis=1, keepdims=True) / 128
+            if classes is None:
+                return hidden
+            c = np.arange(classes)
+            return hidden[:, 0] @ (((7 * j[:, None] + 13 * c) % 11 - 5) / 8)
+
+        return model
+
+    return make_model
+
+
+def document_ids(spark, d) -> DataFrame:
+    ids = scoring.hashed_ids(tx.tokenize(F.col("text")), TOKEN_BUCKETS)
+    return documents(spark, d).select("doc_id", ids.alias("ids"))
+
+
+@query
+def score_texts(spark, d):
+    rows = scoring.score_tokens(document_ids(spark, d), F.col("ids"), small_network(HEAD_CLASSES))
+    scores = [F.get("scores", F.lit(c)).alias(f"score_{c}") for c in range(HEAD_CLASSES)]
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), *scores, "prediction")
+
+
+def embedded(spark, d, pooling):
+    rows = scoring.embed_tokens(document_ids(spark, d), F.col("ids"), small_network(None), pooling)
+    return rows.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query
+def embed_texts(spark, d):
+    return embedded(spark, d, "first")
+
+
+@query
+def embed_texts_mean(spark, d):
+    return embedded(spark, d, "mean")
+
+
 @query
 def embedding_profile(spark, d):
     profile = geometry.embedding_profile(table(spark, d, "embeddings"))

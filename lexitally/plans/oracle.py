@@ -313,6 +313,24 @@ SELECT vec_id, round(s_0, 6) AS score_0, round(s_1, 6) AS score_1, round(s_2, 6)
 FROM scores"""
 
 
+# All entries are fractions of powers of two, so sums are exact.
+NETWORK = f"""ids AS (
+  SELECT doc_id, list_concat([1::BIGINT],
+    list_transform({tokens()}[1:127], lambda w: ('0x' || left(md5(w), 8))::BIGINT % 30000 + 2)) AS ids FROM documents),
+entries AS (
+  SELECT doc_id, len(ids)::INT AS n_ids, dim, ((2 * dim + 3 + 7 * dim) % 31 - 15) / 16.0::DOUBLE AS own,
+    list_sum(list_transform(ids, lambda t: (t * (2 * dim + 3) + 7 * dim) % 31 - 15))::DOUBLE / 16 AS total
+  FROM ids, (SELECT unnest(range(8))::INT AS dim) d)"""
+
+
+def network_scores() -> str:
+    heads = ", ".join(f"sum((own + total / 128) * ((7 * dim + 13 * {c}) % 11 - 5) / 8.0::DOUBLE) AS s_{c}" for c in range(3))
+    return f"""WITH {NETWORK}, scores AS (SELECT doc_id, any_value(n_ids) AS n_ids, {heads} FROM entries GROUP BY doc_id)
+SELECT doc_id, n_ids, s_0 AS score_0, s_1 AS score_1, s_2 AS score_2,
+       CASE WHEN s_0 >= s_1 AND s_0 >= s_2 THEN 0 WHEN s_1 >= s_2 THEN 1 ELSE 2 END AS prediction
+FROM scores"""
+
+
 def statements() -> dict[str, str]:
     new = NEW_TEXTS
     return {
@@ -375,6 +393,9 @@ def statements() -> dict[str, str]:
         "classify_new_texts": new,
         "classify_new_texts_stream": new,
         "batch_score_vectors": linear_head(),
+        "score_texts": network_scores(),
+        "embed_texts": f"WITH {NETWORK} SELECT doc_id, dim, own + total / 128 AS value FROM entries",
+        "embed_texts_mean": f"WITH {NETWORK} SELECT doc_id, dim, (total + n_ids * (total / 128)) / n_ids AS value FROM entries",
         "embedding_profile": """SELECT label, count(*) AS n, min(len(embedding))::INT AS min_width, max(len(embedding))::INT AS max_width,
             round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS mean_norm
             FROM embeddings GROUP BY label""",
