@@ -27,6 +27,7 @@ NEGATIVE, POSITIVE = "not toxic", "toxic"
 SAMPLE = 100
 HEAD_CLASSES = 3
 WIDTH = 64
+NULL_MARK = "\\N"
 TOKEN_BUCKETS = 30_000
 TOKEN_WIDTH = 8
 
@@ -86,6 +87,16 @@ def split_counts(spark, d):
     return columns.split_counts(src.with_split(labels))
 
 
+@query
+def csv_round_trip(spark, d):
+    # All documents as CSV, line breaks in texts and all, read back in blocks.
+    path = f"{staging_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = documents(spark, d).select("doc_id", "text")
+    options = {"header": True, "escape": '"', "quoteAll": True, "nullValue": NULL_MARK, "emptyValue": ""}
+    rows.write.options(**options).csv(path)
+    return src.read_csv(spark, path, "doc_id bigint, text string", split=True, null=NULL_MARK)
+
+
 @query
 def project_text_label(spark, d):
     return corpus(spark, d).select("doc_id", "text", "label")

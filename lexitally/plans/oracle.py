@@ -335,6 +335,7 @@ def statements() -> dict[str, str]:
     new = NEW_TEXTS
     return {
         "split_counts": f"SELECT {SPLIT} AS split, toxic AS label, count(*) AS n FROM labels GROUP BY ALL",
+        "csv_round_trip": "SELECT doc_id, text FROM documents",
         "project_text_label": f"WITH {CORPUS} SELECT doc_id, text, label FROM corpus",
         "filter_class": f"WITH {CORPUS} SELECT doc_id, text FROM corpus WHERE label = 1",
         "encode_label": f"""WITH {WRITTEN} SELECT doc_id, written,

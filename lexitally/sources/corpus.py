@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexitally.operators.columns import encode_label
+from lexitally.sources.split_csv import read_csv_split
 
 # The columns of a corpus file and the two written classes.
 CORPUS_SCHEMA = "rewire_id string, text string, label_sexist string, label_category string, label_vector string, split string"
@@ -16,15 +17,22 @@ CORPUS_CLASSES = ("not sexist", "sexist")
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | StructType = CORPUS_SCHEMA, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType = CORPUS_SCHEMA,
+    multi_line: bool = True,
+    split: bool = False,
+    null: str = "",
 ) -> DataFrame:
     """CSV with a header; quoted fields may span lines and double their quotes.
 
     The schema is stated, so the files are read once, and checked against the
-    header. While quoted fields may span lines a file cannot be split: keep a
-    large corpus in many files, or set `multi_line` to False if no text in it
-    holds a line break.
+    header. Spark's reader gives a file of such fields to one task; with `split`
+    large files are read in blocks by `sources.split_csv`. Without line breaks in
+    texts, `multi_line` may be False, which splits files as well.
     """
+    if split:
+        return read_csv_split(spark, path, schema, null=null)
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -32,6 +40,7 @@ def read_csv(
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", null)
         .csv(path)
     )
 
