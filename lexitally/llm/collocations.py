@@ -87,18 +87,13 @@ class Bitmap:
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
-def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a bitmap and the bits to set there, each place once."""
-    bit = np.unique(hashes & np.uint64(BITS - 1))
-    place, first = np.unique(bit >> np.uint64(6), return_index=True)
-    value = np.uint64(1) << (bit & np.uint64(63))
-    return place.astype(np.int64), np.bitwise_or.reduceat(value, first).view(np.int64) if len(first) else value.view(np.int64)
-
-
-def bitmap_of(marks: DataFrame) -> Bitmap:
-    """The union of (slot, bits) rows; at most BITS / 64 of them are left."""
+def bitmap_of(hashes: DataFrame) -> Bitmap:
+    """The set of a column `hash`; at most BITS / 64 rows visit the driver, however many hashes there are."""
+    bit = F.col("hash").bitwiseAND(BITS - 1)
+    one = F.expr(f"shiftleft(1L, cast(hash & {63} as int))")
+    rows = hashes.select(F.shiftright(bit, 6).alias("slot"), one.alias("bits"))
+    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(BITS >> 6, dtype=np.uint64)
-    found = marks.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
     words[found["slot"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return Bitmap(words)
 
@@ -180,7 +175,7 @@ def _per_block(texts: DataFrame, size: int, rows_of: Callable[[Block], Iterator[
     return texts.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items()))
 
 
-MARKS = {"slot": ("long", pa.int64()), "bits": ("long", pa.int64())}
+MARKS = {"lang": ("string", pa.string()), "hash": ("long", pa.int64()), "above": ("long", pa.int64())}
 COUNTS = {"lang": ("string", pa.string()), "phrase": ("string", pa.string()), "k": ("int", pa.int32()), "f": ("long", pa.int64())}
 
 
@@ -219,7 +214,12 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
 
 
 def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
-    """The union of what each shard has at its proportional support."""
+    """The phrases that some shard has at its proportional support t, and that can reach the support in all.
+
+    A shard that does not report a phrase has it t - 1 times at most. So a phrase
+    is out if what is reported, plus t - 1 of every other shard, stays below the
+    support. Shards report counts less t - 1, and once what t - 1 is.
+    """
 
     def rows_of(block: Block) -> Iterator[tuple]:
         least = max(1, -(-support * block.n // totals.get(block.lang, 1)))
@@ -227,11 +227,20 @@ def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[st
         def keep(block, k, at, count, place):
             return count >= least
 
-        for k, at, _ in _runs(block, levels[1], keep, words.value, pairs and pairs.value):
+        yield [block.lang], [None], [least - 1]
+        for k, at, count in _runs(block, levels[1], keep, words.value, pairs and pairs.value):
             if k >= levels[0]:
-                yield slots(block.hash_at(at, k))
+                yield [block.lang] * len(at), block.hash_at(at, k).view(np.int64), count - (least - 1)
 
-    return bitmap_of(_per_block(texts, size, rows_of, MARKS))
+    reported = _per_block(texts, size, rows_of, MARKS).groupBy("lang", "hash").agg(F.sum("above").alias("above"))
+    reported = stage(reported)
+    # One row per language.
+    unseen = {r.lang: r.above for r in reported.where("hash IS NULL").toLocalIterator()}
+    if not unseen:
+        return Bitmap(np.zeros(BITS >> 6, dtype=np.uint64))
+    unseen = texts.sparkSession.createDataFrame(list(unseen.items()), "lang string, unseen long")
+    able = reported.where("hash IS NOT NULL").join(F.broadcast(unseen), "lang").where(F.col("above") + F.col("unseen") >= support)
+    return bitmap_of(able.select("hash"))
 
 
 def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
@@ -274,10 +283,9 @@ def _marked(counts: DataFrame) -> Bitmap:
                 for column in columns:
                     state = (state ^ column) * np.uint64(0x9E3779B97F4A7C15)
                     state ^= state >> np.uint64(29)
-            place, bits = slots(state)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(bits)], names=["slot", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(state.view(np.int64))], names=["hash"])
 
-    return bitmap_of(counts.select("lang", "phrase").mapInArrow(run, "slot long, bits long"))
+    return bitmap_of(counts.select("lang", "phrase").mapInArrow(run, "hash long"))
 
 
 def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, dict[str, int]]:
