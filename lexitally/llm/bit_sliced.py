@@ -6,7 +6,8 @@ up the bitmaps of its components, each as often and as far shifted as the bits
 of its own value say, with bitwise carry-save adders: the scores of all rows
 appear as slices, without being computed row by row. Going from the top slice
 down, rows are chosen until k are sure; rows that tie at the border are resolved
-by their ids.
+by their ids. The bitmaps are built once and staged. Each block moves once, to
+the task where the query chunks stream past it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql.window import Window
 from lexitally.llm.common import ship, stage
 
 SCALE = 256
-BLOCK = 65_536
+# Rows of a block: at least so many that bitmaps are worth it, at most so many that a block is some megabytes.
+LEAST_BLOCK, BLOCK = 512, 16_384
 QUERIES = 128
 
 
@@ -36,26 +38,44 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
+def _planes(column: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [np.packbits((column >> np.uint64(s)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for s in range(bits)]
+
+
 class Slices:
-    """Bitmaps of a block: `plain[d][s]` is bit s of component d less its smallest value."""
-
-    def __init__(self, values: np.ndarray):
-        self.rows = len(values)
-        padded = np.zeros((-(-self.rows // 64) * 64, values.shape[1]), dtype=np.uint64)
-        self.low = values.min(axis=0) if self.rows else np.zeros(values.shape[1], dtype=np.int64)
-        spread = (values - self.low).astype(np.uint64)
-        self.top = spread.max(axis=0) if self.rows else spread.sum(axis=0)
-        padded[: self.rows] = spread
-        self.plain, self.turned = [], []
-        for d in range(values.shape[1]):
-            bits = int(self.top[d]).bit_length()
-            column = padded[:, d]
-            planes = [np.packbits((column >> np.uint64(s)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for s in range(bits)]
-            self.plain.append(planes)
-            # top - value, for negative weights: the complement, less what the top lacks of all ones.
-            padded_turned = np.uint64(self.top[d]) - np.minimum(column, np.uint64(self.top[d]))
-            self.turned.append([np.packbits((padded_turned >> np.uint64(s)).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for s in range(bits)])
-        self.words = len(padded) // 64
+    """Bitmaps of a block: `plain[d][s]` is bit s of component d less its smallest value, `turned` the same of the largest less it."""
+
+    def __init__(self, rows: int, top: np.ndarray, plain: list[list[np.ndarray]], turned: list[list[np.ndarray]]):
+        self.rows, self.top, self.plain, self.turned = rows, top, plain, turned
+        self.words = -(-rows // 64)
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Slices:
+        rows, width = values.shape
+        spread = (values - values.min(axis=0)).astype(np.uint64)
+        top = spread.max(axis=0)
+        padded = np.zeros((-(-rows // 64) * 64, width), dtype=np.uint64)
+        padded[:rows] = spread
+        bits = [int(t).bit_length() for t in top]
+        plain = [_planes(padded[:, d], bits[d]) for d in range(width)]
+        # For negative weights.
+        turned = [_planes(top[d] - padded[:, d], bits[d]) for d in range(width)]
+        return cls(rows, top, plain, turned)
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """(top, plain, turned) as bytes."""
+        joined = [b"".join(plane.tobytes() for planes in side for plane in planes) for side in (self.plain, self.turned)]
+        return self.top.tobytes(), *joined
+
+    @classmethod
+    def unpacked(cls, rows: int, top: bytes, plain: bytes, turned: bytes) -> Slices:
+        top = np.frombuffer(top, dtype=np.uint64)
+        words = -(-rows // 64)
+        sides = []
+        for data in (plain, turned):
+            flat = iter(np.frombuffer(data, dtype=np.uint64).reshape(-1, words) if data else ())
+            sides.append([[next(flat) for _ in range(int(t).bit_length())] for t in top])
+        return cls(rows, top, *sides)
 
     def weighted(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of (score + a constant of the query), least significant first."""
@@ -128,22 +148,20 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return words[at] * 64 + bit
 
 
-def _blocks(vectors: DataFrame, size: int, what: str) -> DataFrame:
-    """Rows packed into blocks: (block, ids, width, values), each made of neighbouring rows of a task."""
+def _packed_rows(size: int):
+    """Rows of a task, `size` at a time, as (vec_ids, row numbers, width, components)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         held: list[pd.DataFrame] = []
         n = 0
 
-        def block(frame: pd.DataFrame) -> pd.DataFrame:
+        def block(frame: pd.DataFrame):
             frame = frame.sort_values("vec_id", kind="stable")
             width = int(frame["values"].map(len).max())
             values = np.zeros((len(frame), width), dtype=np.int64)
             for i, v in enumerate(frame["values"]):
                 values[i, : len(v)] = v
-            packed = values.astype(np.int16) if np.abs(values).max(initial=0) < 1 << 15 else values
-            ids = frame["vec_id"].to_numpy(dtype=np.int64).tobytes()
-            return pd.DataFrame({"ids": [ids], "width": [width], "values": [packed.tobytes()]})
+            return frame["vec_id"].to_numpy(dtype=np.int64), frame["uid"].to_numpy(dtype=np.int64), values
 
         for frame in batches:
             held.append(frame)
@@ -155,46 +173,74 @@ def _blocks(vectors: DataFrame, size: int, what: str) -> DataFrame:
         if n:
             yield block(pd.concat(held, ignore_index=True))
 
-    return vectors.select("vec_id", "values").mapInPandas(run, "ids binary, width int, values binary").withColumn(
-        what, F.monotonically_increasing_id()
-    )
+    return frames
+
+
+def _bytes_of(values: np.ndarray) -> bytes:
+    return (values.astype(np.int16) if np.abs(values).max(initial=0) < 1 << 15 else values).tobytes()
 
 
-def _array(ids: bytes, width: int, values: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, dtype=np.int64)
-    kind = np.int16 if len(values) == 2 * len(ids) * width else np.int64
-    return ids, np.frombuffer(values, dtype=kind).reshape(len(ids), width).astype(np.int64)
+def _array(rows: int, width: int, values: bytes) -> np.ndarray:
+    kind = np.int16 if len(values) == 2 * rows * width else np.int64
+    return np.frombuffer(values, dtype=kind).reshape(rows, width).astype(np.int64)
+
+
+ROW = "ids binary, uids binary, width int, values binary"
+INDEX = f"{ROW}, top binary, plain binary, turned binary"
+
+
+def _index(vectors: DataFrame, size: int) -> DataFrame:
+    """One row per block, with its bitmaps."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, uids, values in _packed_rows(size)(batches):
+            row = ids.tobytes(), uids.tobytes(), values.shape[1], _bytes_of(values), *Slices.of(values).packed()
+            yield pd.DataFrame([row], columns=INDEX.replace(",", "").split()[0::2])
+
+    return vectors.mapInPandas(run, INDEX).withColumn("block", F.monotonically_increasing_id())
+
+
+def _chunks(vectors: DataFrame, size: int) -> DataFrame:
+    """One row per chunk of queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, uids, values in _packed_rows(size)(batches):
+            row = ids.tobytes(), uids.tobytes(), values.shape[1], _bytes_of(values)
+            yield pd.DataFrame([row], columns=ROW.replace(",", "").split()[0::2])
+
+    return vectors.mapInPandas(run, ROW)
 
 
 def _search(k: int):
+    """Reads blocks, each followed by the chunks of queries that are to be answered from it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, slices, ids, values = None, None, None, None
+        slices, ids, uids, values, everyone = None, None, None, None, None
         for frame in batches:
             for row in frame.itertuples(index=False):
-                if row.block != known:
-                    known = row.block
-                    ids, values = _array(row.ids, row.width, row.values)
-                    slices = Slices(values)
-                query_ids, queries = _array(row.query_ids, row.query_width, row.query_values)
+                row_ids, row_uids = (np.frombuffer(x, dtype=np.int64) for x in (row.ids, row.uids))
+                row_values = _array(len(row_ids), row.width, row.values)
+                if row.plain is not None:
+                    slices = Slices.unpacked(len(row_ids), row.top, row.plain, row.turned)
+                    ids, uids, values = row_ids, row_uids, row_values
+                    everyone = np.packbits(np.arange(slices.words * 64) < slices.rows, bitorder="little").view(np.uint64)
+                    continue
                 found = []
-                everyone = np.packbits(np.arange(slices.words * 64) < slices.rows, bitorder="little").view(np.uint64)
-                width = min(values.shape[1], queries.shape[1])
-                for n, (own, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
-                    candidates = everyone
-                    # Blocks are sorted by id, so the query's own rows are neighbours.
-                    first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
-                    if last > first:
+                width = min(values.shape[1], row_values.shape[1])
+                own_place = {u: i for i, u in enumerate(uids.tolist())} if np.isin(row_uids, uids).any() else {}
+                for own, uid, query in zip(row_ids.tolist(), row_uids.tolist(), row_values, strict=True):
+                    candidates, at = everyone, own_place.get(uid)
+                    if at is not None:
+                        # A query's own row is no candidate; others of the same id are.
                         candidates = everyone.copy()
-                        for at in range(first, last):
-                            candidates[at // 64] &= ~np.uint64(1 << (at % 64))
+                        candidates[at // 64] &= ~np.uint64(1 << (at % 64))
                     weights = np.zeros(values.shape[1], dtype=np.int64)
                     weights[:width] = query[:width]
                     rows = slices.best(slices.weighted(weights), candidates, k)
-                    scores = values[rows] @ weights
-                    found.append((np.full(len(rows), n), np.full(len(rows), own), ids[rows], scores))
+                    found.append((np.full(len(rows), uid), np.full(len(rows), own), ids[rows], values[rows] @ weights))
                 if found:
-                    n, own, near, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pd.DataFrame({"chunk": row.chunk, "number": n, "query_id": own, "vec_id": near, "score": score})
+                    uid, own, near, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pd.DataFrame({"uid": uid, "query_id": own, "vec_id": near, "score": score})
 
     return run
 
@@ -204,37 +250,38 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest inner product for each query row.
 
-    Queries are the rows whose vec_id is divisible by `every`; a query's own id
-    is no candidate. Ties go to the smaller vec_id. Vectors that are null or
-    hold nulls or non-finite components, and rows without an id, take no part;
-    a missing component counts as zero. Rows that repeat a query's id are
-    queries of their own. An empty table gives no rows.
+    Queries are the rows whose vec_id is divisible by `every`; candidates are all
+    rows but the query's own, so rows that share an id are candidates for each
+    other. Ties go to the smaller vec_id. Vectors that are null or hold nulls or
+    non-finite components, and rows without an id, take no part; a missing
+    component counts as zero. An empty table gives no rows.
 
-    The index is a table of blocks. Query chunks are dealt to all blocks by a
-    join on the block number, and each pair yields its k best per query; only
-    these meet in the last step.
+    The index is a table of blocks with their bitmaps. Blocks and the chunks that
+    visit them go to one place by the block's number and stream through in order:
+    a task holds one block and one chunk at a time. Each visit yields the k best
+    per query, and only these meet in the last step.
     """
-    rows = ship(vectors).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("values")
+    spark = vectors.sparkSession
+    rows = stage(
+        ship(vectors)
+        .where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+        .select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("values"))
+        .withColumn("uid", F.monotonically_increasing_id())
     )
-    n, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    asked = rows.where(F.col("vec_id") % every == 0)
+    n, n_asked = rows.count(), asked.count()
+    # All cores get a block, unless blocks would be very short.
+    size = min(block, max(LEAST_BLOCK, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     # Neighbouring files go into one block, so that bitmaps are long.
-    index = stage(_blocks(rows.coalesce(max(1, n // block)), block, "block"))
-    queries = stage(_blocks(rows.where(F.col("vec_id") % every == 0).coalesce(max(1, n_asked // (8 * chunk))), chunk, "chunk"))
-    asked = queries.select(
-        "chunk", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("values").alias("query_values")
-    )
-    # Chunks visit all blocks: both sides meet on the block's number, and the
-    # pairs are then dealt out evenly.
-    numbers = stage(index.select("block"))
-    visits = asked.withColumn("block", F.explode(numbers.agg(F.collect_list("block").alias("all")).scalar()))
-    pairs = (
-        index.join(visits, "block")
-        .select("block", "ids", "width", "values", "chunk", "query_ids", "query_width", "query_values")
-        .repartition("block", "chunk")
-    )
-    best = pairs.mapInPandas(_search(k), "chunk long, number long, query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("chunk", "number").orderBy(F.desc("score"), "vec_id")
+    index = stage(_index(rows.coalesce(max(1, n // size)), size))
+    chunks = stage(_chunks(asked.coalesce(max(1, n_asked // (8 * chunk))), chunk))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("top", "plain", "turned")]
+    numbers = index.select("block").agg(F.collect_list("block").alias("all")).scalar()
+    visits = chunks.select("*", *none, F.explode(numbers).alias("block"))
+    met = index.unionByName(visits).repartition("block")
+    stream = met.sortWithinPartitions("block", F.col("plain").isNull()).drop("block")
+    best = stream.mapInPandas(_search(k), "uid long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
