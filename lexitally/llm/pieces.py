@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from lexitally.llm.common import ship
 
 SPACE = "▁"
-SEGMENTS_KEPT = 300_000
+SEGMENTS_KEPT = 200_000
 CHARACTERS_KEPT = 50_000
 # Characters of a text normalised at once, and segments held at once.
 WINDOW = 1 << 19
@@ -209,15 +209,17 @@ def _character(lead: int) -> int:
 
 
 class Segments(dict):
-    """What segments turn into; cleared when full."""
+    """What segments turn into. When full, those not asked for since the last time go."""
 
     def __init__(self, make):
         self.make = make
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
 
     def __missing__(self, segment: str) -> tuple[bytes, bytes, str]:
-        made = self.make(segment)
+        made = self.older.get(segment) or self.make(segment)
         if len(segment) <= 64:
             if len(self) >= SEGMENTS_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[segment] = made
         return made
@@ -266,6 +268,7 @@ class Pieces:
             self.table.append(made)
         self.opens = [kind == NORMAL and name.startswith(SPACE) for name, kind in zip(names, kinds, strict=True)]
         self.pattern = re.compile(self._borders())
+        self.entries = {name: self._entry(name) for name in self.ids}
         self.segments = Segments(self._segment)
 
     def _borders(self) -> str:
@@ -274,8 +277,15 @@ class Pieces:
         joined = set("".join(long))
         if any(SPACE in p.lstrip(SPACE) for p in long):
             return r"(?s).+"
-        inner = "".join(map(re.escape, sorted(joined - {SPACE})))
-        return rf"(?s){SPACE}*[{inner}]+|{SPACE}+|." if inner else r"(?s)."
+        letters = {c for c in joined if c.isalpha()}
+        signs = joined - letters - {SPACE}
+        inner, letters, signs = ("".join(map(re.escape, sorted(c))) for c in (joined - {SPACE}, letters, signs))
+        if not inner:
+            return r"(?s)."
+        if not signs or not letters or any(a.isalpha() and b != SPACE and not b.isalpha() for p in long for a, b in zip(p, p[1:])):
+            return rf"(?s){SPACE}*[{inner}]+|{SPACE}+|."
+        # In this model, no piece goes on with a sign after a letter.
+        return rf"(?s){SPACE}*[{signs}]*[{letters}]+|{SPACE}*[{signs}]+|{SPACE}+|."
 
     def _merge(self, segment: str) -> list[str]:
         """Join the neighbours that make the piece of highest score, leftmost first, while any do."""
@@ -283,15 +293,20 @@ class Pieces:
         if len(segment) > SHORT:
             return self._merge_long(segment)
         parts = list(segment)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = score.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or found > best):
-                    best, at = found, i
-            if best is None:
+        get, none = score.get, float("-inf")
+        # The score of each pair of neighbours.
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = scores.index(best)
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
         return parts
 
     def _merge_long(self, segment: str) -> list[str]:
@@ -325,17 +340,17 @@ class Pieces:
 
     def _segment(self, segment: str) -> tuple[bytes, bytes, str]:
         """Packed ids, packed lengths in normalised bytes, and the ids as text."""
-        ids, sizes = [], []
-        for part in self._merge(segment):
-            found = self.ids.get(part)
-            data = part.encode()
-            if found is None and self.by_bytes:
-                # The character's bytes one by one; the last one answers for all of it.
-                ids += [self.byte_ids[b] for b in data]
-                sizes += [0] * (len(data) - 1) + [len(data)]
-            else:
-                ids.append(self.unknown if found is None else found)
-                sizes.append(len(data))
+        packed, sizes, names = zip(*[self.entries.get(part) or self._entry(part) for part in self._merge(segment)], strict=True)
+        return b"".join(packed), b"".join(sizes), ",".join(names)
+
+    def _entry(self, part: str) -> tuple[bytes, bytes, str]:
+        """The same of one piece, or of a character that is none."""
+        data, found = part.encode(), self.ids.get(part)
+        if found is None and self.by_bytes:
+            # The character's bytes one by one; the last one answers for all of it.
+            ids, sizes = [self.byte_ids[b] for b in data], [0] * (len(data) - 1) + [len(data)]
+        else:
+            ids, sizes = [self.unknown if found is None else found], [len(data)]
         return struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(sizes)}I", *sizes), ",".join(map(str, ids))
 
     def encode(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
