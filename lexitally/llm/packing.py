@@ -9,6 +9,7 @@ Each task packs its own rows as they stream by; no row moves.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,16 +29,46 @@ WORDS_KEPT = 200_000
 PLAIN_LETTERS = "İ"
 
 
+# The normaliser and the cutting of texts for which words stand alone.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Words(dict):
     """Packed ids of the words met so far, from the tokenizer; cleared when full.
 
-    The tokenizer never looks across white space, nor across the border between
-    plain letters and a full stop or comma, so a text is its words one by one.
+    A tokenizer of the known kind (see WORDWISE) never looks across white space,
+    nor across the border between plain letters and a full stop or comma, so a
+    text is its words one by one. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.lookup = byte_letters()
+        given = json.loads(tokenizer.to_str())
+        self.wordwise = all(given[part] == known for part, known in WORDWISE.items()) and all(
+            not t["normalized"] and not any(c.isspace() for c in t["content"]) for t in given["added_tokens"]
+        )
 
     def __missing__(self, word: str) -> bytes:
         if max(word) < PLAIN_LETTERS and word.isalpha():
@@ -79,6 +110,8 @@ def tokens_of(text: str, words: Words, end: int) -> bytes:
     Only spaces and line feeds cut here; other white space stays inside a word
     and is the tokenizer's business.
     """
+    if not words.wordwise:
+        return pack([*words.tokenizer.encode(text, add_special_tokens=False).ids, end])
     parts = text.replace("\n", " ").split(" ")
     return b"".join([*map(words.__getitem__, filter(None, parts)), pack([end])])
 
@@ -203,7 +236,7 @@ def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
     end: int = 2,
-    limits: tuple[int, int, int] = (4096, 256, 4096),
+    limits: tuple[int, int, int] = (4096, 4096, 4096),
     keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of a document in a sequence, in one narrow stage.
@@ -218,7 +251,7 @@ def pack_documents(
 
 def pack_examples(docs: DataFrame, tokenizer_path: str, prompt: Callable[[str], int], **options) -> DataFrame:
     """As `pack_documents`; `prompt` gives the number of leading tokens without loss from a text."""
-    return _packed(docs.select("doc_id", "text"), tokenizer_path, options.pop("end", 2), options.pop("limits", (4096, 256, 4096)), options.pop("keep_ids", False), prompt)
+    return _packed(docs.select("doc_id", "text"), tokenizer_path, options.pop("end", 2), options.pop("limits", (4096, 4096, 4096)), options.pop("keep_ids", False), prompt)
 
 
 def _packed(docs: DataFrame, path: str, end: int, limits, keep_ids: bool, prompt) -> DataFrame:

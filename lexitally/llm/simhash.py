@@ -77,12 +77,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
     """(first bit, width, radius) of each segment, for so many distinct fingerprints.
 
-    Wider segments for larger tables, so that few others share a value. Of m
-    segments, the first distance % m + 1 are searched within distance // m bits
+    Wider segments for larger tables, so that few others share a value, but two
+    at least: a single segment of all bits would be asked for 679,121 values per
+    fingerprint, two of 32 bits for 562. Where even these have many members, the
+    crowds of `links` take over. Of m segments, the first distance % m + 1 are searched within distance // m bits
     and the rest one bit closer; a radius below 0 needs no search.
     """
     wanted = max(8.0, math.log2(max(count, 2)))
-    m = max(1, min(distance + 1, int(BITS / wanted)))
+    m = max(min(2, distance + 1), min(distance + 1, int(BITS / wanted)))
     radius, rest = divmod(distance, m)
     out, at = [], 0
     for i in range(m):
@@ -147,7 +149,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
     crowded = stage(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).drop("n"))
     # As many crowded values as the table has rows for, at most: count x segments / crowd.
     few = own.join(crowded, keys, "left_anti")
-    pairs = few.join(asked.withColumnRenamed("fp", "other"), keys)
+    # Nor are crowded values asked for here: all those rows would go to one task for nothing.
+    apart = asked.join(crowded, keys, "left_anti")
+    pairs = few.join(apart.withColumnRenamed("fp", "other"), keys)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     pairs = pairs.where((F.col("fp") != F.col("other")) & close)
     edges = pairs.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v"))
