@@ -83,7 +83,7 @@ class Bitmap:
         self.words = words
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        bit = hashes & np.uint64(BITS - 1)
+        bit = hashes & np.uint64(64 * len(self.words) - 1)
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 

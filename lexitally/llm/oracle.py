@@ -104,10 +104,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b f"""
 
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i
+  FROM lists, (SELECT unnest(range(1, 6))::INTEGER AS k)),
+counts AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM counts WHERE k > 1 AND f >= 100),
+parts AS (
+  SELECT lang, array_to_string(w[s:s + j - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, w, f, j, unnest(range(1, k - j + 2)) AS s
+        FROM (SELECT lang, k, w, f, unnest(range(2, k)) AS j FROM candidates))
+  GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN parts p ON c.lang = p.lang AND c.phrase = p.phrase
+  WHERE p.longer IS NULL OR 100 * p.longer < 100 * c.f),
+cuts AS (
+  SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, cut,
+    ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON c.lang = x.lang AND c.head = x.phrase
+    JOIN counts y ON c.lang = y.lang AND c.rest = y.phrase JOIN words n ON c.lang = n.lang),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules(),
         "op5_repeated_passages": PASSAGES,
         "op6_bit_sliced_search": SEARCH,
         "op8_url_verdicts": url_verdicts(),
+        "op12_collocations": COLLOCATIONS,
     }

@@ -266,6 +266,7 @@ class Pieces:
                 self.score[name] = struct.unpack("<f", pieces[i][2])[0] if 2 in pieces[i] else 0.0
                 made = name.replace(SPACE, " ").encode()
             self.table.append(made)
+        self.silent = {i for i, made in enumerate(self.table) if not made}
         self.opens = [kind == NORMAL and name.startswith(SPACE) for name, kind in zip(names, kinds, strict=True)]
         self.pattern = re.compile(self._borders())
         self.entries = {name: self._entry(name) for name in self.ids}
@@ -391,7 +392,10 @@ class Pieces:
     def decode(self, ids: Iterable[int], opening: bool = True) -> str:
         """The text of ids; `opening` tells whether they open a text, whose added space goes."""
         ids = list(ids)
-        data = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "one-by-one")
+        # A piece without text ends a run of bytes.
+        edges = [at for at, i in enumerate(ids) if not self.table[i]] if self.silent.intersection(ids) else []
+        runs = [ids[a:b] for a, b in zip([0, *edges], [*edges, len(ids)], strict=True)]
+        data = "".join(b"".join(map(self.table.__getitem__, run)).decode("utf-8", "one-by-one") for run in runs)
         drop = 0
         if opening and (self.prefix or self.squeeze):
             for i in ids:

@@ -64,7 +64,7 @@ def crcs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
             for i in bucket.tolist():
                 out[i] = zlib.crc32(data[starts[i] : starts[i] + length])
             continue
-        size = max(1, CELLS // length)
+        size = max(1, CELLS // max(1, length))
         for at in range(0, len(bucket), size):
             part = bucket[at : at + size]
             columns = data[starts[part] + np.arange(length)[:, None]]
