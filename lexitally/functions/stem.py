@@ -5,13 +5,20 @@ the widely used later changes: a short list of irregular words, words of two
 letters left alone, ies/ied after one letter to ie, y to i only after a
 consonant, and the endings bli, fulli and logi.
 
-The steps are plain SQL text, one array pass per step, so that each step reads
-the result of the one before it exactly once and the whole stemmer stays in
-the JVM.
+For one word, or few, the steps are plain SQL text, one pass per step, so that
+each step reads the result of the one before it exactly once and the whole
+stemmer stays in the JVM. Whole texts repeat their words: `stem_tokens` looks at
+the distinct words of a batch of texts, stems those it has not met, and puts the
+stems back by position, all in Arrow; the same rule tables drive both.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,3 +186,111 @@ def _lambda(step: str) -> Column:
 def stem_word(word: Column, mode: str = "extended") -> Column:
     """Stem one lowercase word."""
     return F.element_at(stem_words(F.array(word), mode), 1)
+
+
+def word_stemmer(mode: str = "extended") -> Callable[[str], str]:
+    """The same steps as a Python function of one lowercase word."""
+    if mode not in ("extended", "paper"):
+        raise ValueError(f"unknown mode {mode!r}")
+    extended = mode == "extended"
+    irregular = IRREGULAR if extended else {}
+    has_vowel, above_0, above_1, doubled = (re.compile(p).search for p in (VOWEL, MEASURE_ABOVE_0, MEASURE_ABOVE_1, r"([^aeiouylsz])\1$"))
+    cvc = re.compile(f"{ENDS_CVC}|{ENDS_VC_ONLY}" if extended else ENDS_CVC).search
+    last_y = re.compile(f"^.+{CONSONANT}[yY]$" if extended else f"{VOWEL}.*[yY]$", re.DOTALL).search
+    consonant_y = re.compile("(^|[aeiouy])y").sub
+
+    def table(rules: list[tuple]) -> dict[str, list[tuple]]:
+        """Rules (suffix, condition, replacement) by last letter, longest first."""
+        found: dict[str, list[tuple]] = {}
+        for rule in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+            found.setdefault(rule[0][-1], []).append(rule)
+        return found
+
+    def apply(word: str, rules: dict[str, list[tuple]]) -> str:
+        for suffix, condition, replacement in rules.get(word[-1:], ()):
+            if word.endswith(suffix):
+                stem = word[: len(word) - len(suffix)]
+                return stem + replacement if condition is None or condition(stem) else word
+        return word
+
+    plural = table([("sses", None, "ss"), ("ies", None, "i"), ("ss", None, "ss"), ("s", None, "")])
+    second = [(s, above_0, r) for s, r in STEP_2 if not (extended and s == "abli")]
+    if extended:
+        second += [("bli", above_0, "ble"), ("fulli", above_0, "ful"), ("logi", lambda stem: above_0(stem + "l"), "log")]
+    ion = lambda stem: above_1(stem) and stem[-1:] in ("s", "t")
+    second, third = table(second), table([(s, above_0, r) for s, r in STEP_3])
+    fourth = table([(s, ion if s == "ion" else above_1, "") for s in STEP_4])
+
+    def without_past(w: str) -> str:
+        """The ed and ing endings, and what is put right after them."""
+        if extended and w.endswith("ied"):
+            return w[:-1] if len(w) == 4 else w[:-2]
+        if w.endswith("eed"):
+            return w[:-1] if above_0(w[:-3]) else w
+        if w.endswith("ed") and has_vowel(w[:-2]):
+            w = w[:-2]
+        elif w.endswith("ing") and not w.endswith("ed") and has_vowel(w[:-3]):
+            w = w[:-3]
+        else:
+            return w
+        if w.endswith(("at", "bl", "iz")):
+            return w + "e"
+        if w.endswith(("ll", "ss", "zz")):
+            return w
+        if doubled(w):
+            return w[:-1]
+        return w + "e" if above_0(w) and not above_1(w) and cvc(w) else w
+
+    def stem(word: str) -> str:
+        if extended and len(word) <= 2:
+            return word
+        if word in irregular:
+            return irregular[word]
+        w = consonant_y(r"\1Y", word) if "y" in word else word
+        w = w[:-1] if extended and len(w) == 4 and w.endswith("ies") else apply(w, plural)
+        w = without_past(w)
+        if last_y(w):
+            w = w[:-1] + "i"
+        if extended and w.endswith("alli") and above_0(w[:-4]):
+            w = w[:-2]
+        w = apply(apply(apply(w, second), third), fourth)
+        if w.endswith("e") and (above_1(w[:-1]) or (above_0(w[:-1]) and not cvc(w[:-1]))):
+            w = w[:-1]
+        if w.endswith("ll") and above_1(w[:-1]):
+            w = w[:-1]
+        return w.replace("Y", "y")
+
+    return stem
+
+
+# Stems a worker keeps.
+STEMS_KEPT = 200_000
+
+
+def stem_tokens(tokens: Column, mode: str = "extended") -> Column:
+    """Stem every word of an array of lowercase words; null arrays stay null.
+
+    Only distinct words of a batch leave Arrow, and only those not met before
+    are stemmed.
+    """
+    stem, most = word_stemmer(mode), STEMS_KEPT
+
+    def run(arrays):
+        known: dict[str, str] = {}
+        for lists in arrays:
+            words = lists.flatten().dictionary_encode()
+            stems = []
+            for word in words.dictionary.to_pylist():
+                found = known.get(word)
+                if found is None and word is not None:
+                    if len(known) >= most:
+                        known.clear()
+                    found = known[word] = stem(word)
+                stems.append(found)
+            put_back = pc.take(pa.array(stems, pa.string()), words.indices)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+            yield pa.ListArray.from_arrays(offsets, put_back, mask=pc.is_null(lists)) if lists.null_count else pa.ListArray.from_arrays(offsets, put_back)
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returnType="array<string>")(tokens)

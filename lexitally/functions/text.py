@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexitally.functions.stem import stem_words
+from lexitally.functions.stem import stem_tokens
 from lexitally.functions.words import matchable
 
 # The 32 ASCII punctuation marks, and a word as two or more
@@ -52,7 +52,7 @@ def remove_words(tokens: Column, words: Iterable[str]) -> Column:
 def clean_words(text: Column, stopwords: Iterable[str] = (), stem: bool = False) -> Column:
     """Lowercase, punctuation to space, split, stop words, optional stemming."""
     tokens = remove_words(split_words(strip_punctuation(text)), matchable(stopwords))
-    return stem_words(tokens) if stem else tokens
+    return stem_tokens(tokens) if stem else tokens
 
 
 def clean_text(text: Column, stopwords: Iterable[str] = (), stem: bool = False) -> Column:

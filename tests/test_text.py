@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from lexitally.functions import stem
 from lexitally.functions import text as tx
 from lexitally.functions.stem import stem_words
 from lexitally.functions.words import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, matchable
@@ -89,3 +91,18 @@ def test_stems(spark):
         words = list(wanted)
         df = spark.createDataFrame([(words,)], "w array<string>")
         assert df.select(stem_words(F.col("w"), mode).alias("s")).first().s == [wanted[w] for w in words]
+
+
+@pytest.mark.parametrize("mode", ["extended", "paper"])
+def test_batch_stemmer_is_the_native_one(spark, mode):
+    """Words of the documents and made-up endings; stems of whole arrays by position."""
+    rng = random.Random(5)
+    endings = [s for s, _ in (*stem.STEP_2, *stem.STEP_3)] + [*stem.STEP_4, "s", "ies", "sses", "ed", "ing", "eed", "ied", "y", "e", "ll", ""]
+    made = ["".join(rng.choices("abcdeilnorstuyzw", k=rng.randint(1, 7))) + rng.choice(endings) + rng.choice(endings) for _ in range(5000)]
+    made += [*stem.IRREGULAR, "y", "yy", "ünïe", "s", "es", "", "sayyid"]
+    lists = [made[i : i + 40] * 2 for i in range(0, len(made), 40)] + [[], None]
+    df = spark.createDataFrame([(i, words) for i, words in enumerate(lists)], "i int, words array<string>").repartition(3)
+    both = df.select("words", stem.stem_tokens(F.col("words"), mode).alias("a"), stem.stem_words(F.col("words"), mode).alias("b")).collect()
+    assert len(both) == len(lists)
+    for r in both:
+        assert r.a == r.b and (r.a is None) == (r.words is None)
