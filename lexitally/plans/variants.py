@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.functions.text import clean_text, count_terms, let, ngrams, tokenize
+from lexitally.functions.text import clean_text, count_terms, ngrams, tokenize
 from lexitally.functions.words import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS
-from lexitally.operators.bayes import NaiveBayesModel, fit, predict
+from lexitally.operators.bayes import NaiveBayesModel, best_class, class_priors, fit, predict
 from lexitally.operators.evaluate import summary
-from lexitally.operators.terms import count_documents
+from lexitally.operators.terms import count_documents, is_small, long_rows, lookup, smooth_idf, term_stats, with_totals
 from lexitally.sources.stage import stage
 
 
@@ -71,55 +71,164 @@ def predict_variant(train: DataFrame, test: DataFrame, v: Variant) -> DataFrame:
     return predict(counted(test, v), fit_variant(train, v).staged())
 
 
-def count_variants(corpus: DataFrame, variants: Sequence[Variant] = VARIANTS) -> DataFrame:
-    """(variant, doc_id, label, terms): every variant from one pass over the texts.
-
-    Each kind of cleaning runs once per text and is shared by its variants.
-    """
+def by_cleaning(variants: Sequence[Variant]) -> dict[str, list[Variant]]:
+    """The variants of each kind of cleaning; a variant's place in its list is its slot."""
     kinds: dict[str, list[Variant]] = {}
     for v in variants:
         kinds.setdefault(v.cleaning, []).append(v)
+    return kinds
+
+
+def count_cleanings(corpus: DataFrame, variants: Sequence[Variant] = VARIANTS, keep: Sequence[str] = ("doc_id", "label")) -> DataFrame:
+    """(cleaning, keep, terms): the terms of each kind of cleaning, counted once for all of its variants.
 
-    def rows(group: list[Variant]) -> Column:
-        return let(
-            tokenize(group[0].cleaned(F.col("text"))),
-            lambda tokens: F.array(
-                *[
-                    F.struct(
-                        F.lit(v.name).alias("variant"), count_terms(ngrams(tokens, 1, v.high)).alias("terms")
-                    )
-                    for v in group
-                ]
-            ),
+    Pairs are among them if a variant has pairs; a term is a pair if it holds a space.
+    """
+    rows = [
+        F.struct(
+            F.lit(kind).alias("cleaning"),
+            count_terms(ngrams(tokenize(group[0].cleaned(F.col("text"))), 1, max(v.high for v in group))).alias("terms"),
         )
+        for kind, group in by_cleaning(variants).items()
+    ]
+    return corpus.select(*keep, F.inline_outer(F.array(*rows))).select("cleaning", *keep, "terms")
 
-    every = F.concat(*[rows(group) for group in kinds.values()])
-    return corpus.select("doc_id", "label", F.inline_outer(every)).select("variant", "doc_id", "label", "terms")
 
+class _Slots:
+    """Expressions over rows of several cleanings, one per slot."""
 
-def predict_variants(train: DataFrame, test: DataFrame, variants: Sequence[Variant] = VARIANTS) -> DataFrame:
-    """Predictions of every variant, fitted and scored side by side.
+    def __init__(self, variants: Sequence[Variant]):
+        self.kinds = by_cleaning(variants)
+        self.all = range(max(map(len, self.kinds.values())))
+
+    def pick(self, slot: int, value: Callable[[Variant], Column | None]) -> Column:
+        """What `value` is for the variant in this slot of the row's cleaning, else null."""
+        out = F.lit(None)
+        for kind, group in self.kinds.items():
+            found = value(group[slot]) if slot < len(group) else None
+            if found is not None:
+                out = F.when(F.col("cleaning") == kind, found).otherwise(out)
+        return out
 
-    Cleaning, stemming and counting are written out once; fitting and scoring
-    are then grouped by `variant`, two fits for all counts and all TF-IDF.
+    def has(self, slot: int) -> Column:
+        """Is a term of the row's cleaning one of the variant's?"""
+        single = F.instr("term", " ") == 0
+        return F.coalesce(self.pick(slot, lambda v: (F.col("df") >= v.min_df) & (F.lit(v.high > 1) | single)), F.lit(False))
+
+
+def _fit_cleanings(train: DataFrame, variants: Sequence[Variant], labels: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(classes, terms): one row of priors, and per (cleaning, term) the weight and log probabilities of every slot.
+
+    One aggregate gives the counts of all variants. Of the TF-IDF variants, only
+    texts of their cleaning and terms of theirs are looked at once more.
     """
-    by = ("variant",)
-    train_rows, test_rows = stage(count_variants(train, variants)), stage(count_variants(test, variants))
-    floors = F.create_map(*[x for v in variants for x in (F.lit(v.name), F.lit(v.min_df))])
-    models = []
-    for weighting in ("count", "tfidf"):
-        names = [v.name for v in variants if v.weighting == weighting]
-        if names:
-            own = train_rows.where(F.col("variant").isin(names))
-            models.append(fit(own, weighting, floors[F.col("variant")], by=by))
-    merged = models[0]
-    for other in models[1:]:
-        merged = replace(
-            merged,
-            classes=merged.classes.unionByName(other.classes),
-            terms=merged.terms.unionByName(other.terms),
+    slots, by = _Slots(variants), ("cleaning",)
+    train = train.where(F.col("label").isin(*labels))
+    one = next(iter(slots.kinds))
+    classes = stage(class_priors(train.where(F.col("cleaning") == one), labels))
+    stats = stage(with_totals(term_stats(train, labels, 1, by), classes.select("n_docs")))
+    # The weight of a term, null where the variant does not have it.
+    weights = {
+        s: F.when(
+            slots.has(s),
+            slots.pick(s, lambda v: smooth_idf(F.col("n_docs"), F.col("df")) if v.weighting == "tfidf" else F.lit(1.0)),
+        )
+        for s in slots.all
+    }
+    stats = stats.withColumns({f"weight_{s}": w.cast("double") for s, w in weights.items()})
+    weighed = [v for v in variants if v.weighting == "tfidf"]
+    if weighed:
+        stats = _with_tfidf_sums(train, stats, slots, weighed, labels)
+    total = {
+        (s, c): slots.pick(
+            s, lambda v: F.col(f"weight_{s}") * F.col(f"sum_{s}_{c}") if v.weighting == "tfidf" else F.col(f"total_{c}").cast("double")
         )
-    return predict(test_rows, merged.staged())
+        for s in slots.all
+        for c in labels
+    }
+    known = lambda s, value: F.when(F.col(f"weight_{s}").isNotNull(), value)
+    stats = stats.withColumns({f"mine_{s}_{c}": known(s, t) for (s, c), t in total.items()})
+    mass = stats.groupBy(*by).agg(
+        *[F.count(f"weight_{s}").alias(f"n_{s}") for s in slots.all],
+        *[F.sum(f"mine_{s}_{c}").alias(f"mass_{s}_{c}") for s, c in total],
+    )
+    log_prob = [
+        (F.ln(F.col(f"mine_{s}_{c}") + 1.0) - F.ln(F.col(f"mass_{s}_{c}") + F.col(f"n_{s}"))).alias(f"log_prob_{s}_{c}") for s, c in total
+    ]
+    terms = with_totals(stats, mass, by).select(*by, "term", *[f"weight_{s}" for s in slots.all], *log_prob)
+    return classes, stage(terms)
+
+
+def _with_tfidf_sums(train: DataFrame, stats: DataFrame, slots: _Slots, weighed: Sequence[Variant], labels: Sequence[int]) -> DataFrame:
+    """Adds sum_<slot>_<class>: the sums of tf / norm over the texts of a class."""
+    kinds = {v.cleaning for v in weighed}
+    places = [s for s in slots.all if any(s < len(g) and g[s].weighting == "tfidf" for g in slots.kinds.values())]
+    single = F.lit(True) if any(v.high > 1 for v in weighed) else F.instr("term", " ") == 0
+    texts = train.where(F.col("cleaning").isin(*kinds))
+    keys = ["cleaning", "term"]
+    table = stage(stats.where(F.col("cleaning").isin(*kinds) & single).select(*keys, F.col("df").alias("uses"), *[f"weight_{s}" for s in places]))
+    weight_of = table.drop("uses")
+    rows = long_rows(texts.select("cleaning", "doc_id", "terms")).where(single)
+    matched = lookup(rows, weight_of, is_small(weight_of), keys, table.select(*keys, "uses"))
+    square = lambda s: F.col("tf") * F.col(f"weight_{s}") * F.col("tf") * F.col(f"weight_{s}")
+    norms = matched.groupBy("cleaning", "doc_id").agg(*[F.sqrt(F.sum(square(s))).alias(f"norm_{s}") for s in places])
+    shares = long_rows(texts.join(norms, ["cleaning", "doc_id"])).where(single).groupBy(*keys)
+    sums = shares.agg(
+        *[
+            F.sum(F.when(F.col("label") == c, F.col("tf") / F.col(f"norm_{s}")).otherwise(0.0)).alias(f"sum_{s}_{c}")
+            for s in places
+            for c in labels
+        ]
+    )
+    return stats.join(sums, keys, "left")
+
+
+def predict_variants(
+    train: DataFrame, test: DataFrame, variants: Sequence[Variant] = VARIANTS, labels: Sequence[int] = (0, 1)
+) -> DataFrame:
+    """Predictions of every variant, fitted and scored side by side.
+
+    Each kind of cleaning is run and counted once per text and written out; the
+    variants of a cleaning are columns of one term table, so a text's terms are
+    looked up once for all of them. A `doc_id` that two texts share is an error.
+    """
+    sides = [count_cleanings(df, variants).withColumn("side", F.lit(side)) for side, df in (("train", train), ("test", test))]
+    counted_rows = stage(sides[0].unionByName(sides[1]))
+    side = lambda name: counted_rows.where(F.col("side") == name).drop("side")
+    classes, terms = _fit_cleanings(side("train"), variants, labels)
+    slots, texts = _Slots(variants), side("test")
+    matched = lookup(long_rows(texts.select("cleaning", "doc_id", "terms")), terms, is_small(terms), ["cleaning", "term"])
+    value = {s: F.col("tf") * F.col(f"weight_{s}") for s in slots.all}
+    sums = {f"square_{s}": value[s] * value[s] for s in slots.all}
+    sums |= {f"part_{s}_{c}": value[s] * F.col(f"log_prob_{s}_{c}") for s in slots.all for c in labels}
+    zero = {name: F.lit(0.0) for name in sums}
+    parts = matched.select("cleaning", "doc_id", F.lit(None).cast("int").alias("label"), F.lit(0).alias("own"), *[e.alias(n) for n, e in sums.items()])
+    own = texts.select("cleaning", "doc_id", F.col("label").cast("int").alias("label"), F.lit(1).alias("own"), *[e.alias(n) for n, e in zero.items()])
+    per_text = (
+        own.unionByName(parts)
+        .groupBy("cleaning", "doc_id")
+        .agg(F.max("label").alias("label"), F.sum("own").alias("own"), *[F.sum(n).alias(n) for n in sums])
+    )
+    repeated = F.raise_error(F.concat(F.lit("more than one text has the doc_id "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    per_text = per_text.withColumn("doc_id", F.when(F.col("own") > 1, repeated.cast(per_text.schema["doc_id"].dataType)).otherwise(F.col("doc_id")))
+    scored = with_totals(per_text, classes.select(*[f"log_prior_{c}" for c in labels]))
+
+    def score(s: int, c: int) -> Column:
+        norm = F.sqrt(f"square_{s}")
+        scale = slots.pick(s, lambda v: F.when(norm > 0, norm).otherwise(1.0) if v.weighting == "tfidf" else F.lit(1.0))
+        return F.col(f"log_prior_{c}") + F.col(f"part_{s}_{c}") / scale
+
+    every = F.array(
+        *[
+            F.struct(
+                slots.pick(s, lambda v: F.lit(v.name)).cast("string").alias("variant"),
+                *[score(s, c).alias(f"score_{c}") for c in labels],
+            )
+            for s in slots.all
+        ]
+    )
+    rows = scored.select("doc_id", "label", F.inline(every)).where(F.col("variant").isNotNull())
+    return rows.select("variant", "doc_id", "label", *[f"score_{c}" for c in labels], best_class(labels).alias("prediction"))
 
 
 def variant_metrics(train: DataFrame, test: DataFrame, variants: Sequence[Variant] = VARIANTS) -> DataFrame:
