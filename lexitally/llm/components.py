@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     every round hangs each node's larger neighbours, then its smaller ones, on its
     smallest neighbour, until nothing changes. A node with very
     many neighbours is summed up by partial minima and met again in a join that
-    splits it; its neighbours are never gathered.
+    splits it; its neighbours are never gathered. Rows meet by shuffle in every
+    round, so nothing passes through the driver.
     """
     pairs = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     pairs = stage(_contracted(pairs))
@@ -84,7 +85,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to the smallest of the node and its neighbours."""
     lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
     # (u, v) has u > v: u is a larger neighbour of v, whose lowest is v itself or below.
-    moved = pairs.join(lowest.select(F.col("u").alias("v"), "m"), "v", "left")
+    moved = pairs.join(lowest.select(F.col("u").alias("v"), "m").hint("merge"), "v", "left")
     # Equal edges that come of this go with those of the small star.
     return moved.select("u", F.coalesce("m", "v").alias("v"))
 
@@ -92,7 +93,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
 def _small_star(pairs: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
     lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(lowest, "u")
+    moved = pairs.join(lowest.hint("merge"), "u")
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
