@@ -16,11 +16,12 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.functions.text import let
+from lexitally.operators.sampling import numbered
 from lexitally.operators.terms import BROADCAST_BYTES, attach, long_rows, lookup, term_stats
 from lexitally.sources.stage import stage
 
-MAX_CLASSES = 1_000
+# Centroids of one block.
+BLOCK = 256
 
 
 def _matrix(rows: DataFrame) -> RowMatrix:
@@ -203,67 +204,76 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
-def _all_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """All centroids in one row, in class order; more than MAX_CLASSES is an error."""
-    row = centroids(df, vector, label).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "centroid"))).alias("all")
-    )
-    small = F.size("all") <= MAX_CLASSES
-    return row.select(F.when(small, F.col("all")).otherwise(F.raise_error(F.lit("too many classes"))).alias("all"))
-
-
-def _with_distances(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Each row with its distance to every class centroid.
+def _own_distances(df: DataFrame, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(label, v, d) of every row with a class, d to its own centroid; and the staged centroids.
 
-    The centroids, one short row, come in as a scalar subquery: the large table
-    is neither shuffled nor joined nor multiplied by the number of classes.
+    How the centroids come to the rows is left to Spark, which knows the size of
+    their table.
     """
-    every = _all_centroids(df, vector, label).scalar()
-    both = F.struct(F.col(vector).cast("array<double>").alias("v"), every.alias("all"))
-    apart = let(
-        F.col("both"),
-        lambda b: F.transform(
-            b["all"], lambda c: F.struct(distance(b["v"], c["centroid"]).alias("d"), c["label"].alias("label"))
-        ),
-    )
-    return df.select(label, both.alias("both")).select(label, apart.alias("apart"))
-
-
-def class_dispersion(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(label, n, mean_distance, max_distance) to the own centroid: small means dense."""
-    own = F.element_at(F.filter("apart", lambda a: a["label"] == F.col(label)), 1)["d"]
-    rows = _with_distances(df, vector, label).select(label, own.alias("d"))
-    return rows.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.max("d").alias("max_distance")
-    )
+    known = stage(centroids(df.where(F.col(label).isNotNull()), vector, label).select(F.col(label).alias("label"), "centroid"))
+    rows = df.select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).join(known, "label")
+    return rows.select("label", "v", distance(F.col("v"), F.col("centroid")).alias("d")), known
 
 
-def mixed_region(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(label, n, n_mixed, share): rows that lie nearer to the centroid of another class."""
-    own = F.element_at(F.filter("apart", lambda a: a["label"] == F.col(label)), 1)["d"]
-    nearest = F.array_min(F.transform("apart", lambda a: a["d"]))
-    rows = _with_distances(df, vector, label).select(label, (nearest < own).alias("mixed"))
-    return rows.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("mixed").alias("n_mixed"),
-        F.avg(F.col("mixed").cast("int")).alias("share"),
-    )
+def _blocks(known: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(block, members) of centroids in class order, and how many blocks there are."""
+    placed = numbered(known, [F.col("label").asc()])
+    block = F.floor((F.col("number") - 1) / size).cast("int").alias("block")
+    members = F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("members")
+    blocks = stage(placed.groupBy(block).agg(members))
+    return blocks, blocks.count()
 
 
-def centroid_distances(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(label_a, label_b, distance) for label_a < label_b, from the one row of centroids."""
-    row = _all_centroids(df, vector, label)
+def _between_centroids(blocks: DataFrame, n: int) -> DataFrame:
+    """(label_a, block_b, label_b, distance) of all pairs of classes; a task holds two blocks at a time."""
+    left = blocks.select(F.col("members").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("block"))
     pairs = F.flatten(
         F.transform(
-            "all",
+            "left",
             lambda a: F.transform(
-                F.filter("all", lambda b: b["label"] > a["label"]),
+                F.filter("members", lambda b: b["label"] != a["label"]),
                 lambda b: F.struct(
-                    a["label"].alias("label_a"),
-                    b["label"].alias("label_b"),
-                    distance(a["centroid"], b["centroid"]).alias("distance"),
+                    a["label"].alias("label_a"), b["label"].alias("label_b"), distance(a["centroid"], b["centroid"]).alias("distance")
                 ),
             ),
         )
     )
-    return row.select(F.inline(pairs))
+    return left.join(blocks, "block").select(F.col("block").alias("block_b"), F.inline(pairs))
+
+
+def class_dispersion(df: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(label, n, mean_distance, max_distance) to the own centroid: small means dense."""
+    rows, _ = _own_distances(df, vector, label)
+    found = rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.max("d").alias("max_distance")
+    )
+    return found.withColumnRenamed("label", label)
+
+
+def mixed_region(df: DataFrame, vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """(label, n, n_mixed, share): rows that lie nearer to the centroid of another class.
+
+    By the triangle inequality a centroid is no nearer than the own one if it lies
+    at least twice the row's distance from it. So a row only visits the blocks of
+    centroids of which one is closer to its own than that; most rows of dense
+    classes visit none. There may be any number of classes.
+    """
+    rows, known = _own_distances(df, vector, label)
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()))
+    blocks, n = _blocks(known, block)
+    reach = _between_centroids(blocks, n).groupBy(F.col("label_a").alias("label"), F.col("block_b").alias("block"))
+    reach = stage(reach.agg(F.min("distance").alias("near")))
+    visits = rows.join(reach, "label").where(F.col("near") < 2 * F.col("d"))
+    nearer = F.exists("members", lambda m: (m["label"] != F.col("label")) & (distance(F.col("v"), m["centroid"]) < F.col("d")))
+    mixed = visits.join(blocks, "block").where(nearer).select("row", "label").distinct()
+    counts = mixed.groupBy("label").agg(F.count(F.lit(1)).alias("n_mixed"))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.join(counts, "label", "left").withColumn("n_mixed", F.coalesce("n_mixed", F.lit(0)))
+    return found.select(F.col("label").alias(label), "n", "n_mixed", (F.col("n_mixed") / F.col("n")).alias("share"))
+
+
+def centroid_distances(df: DataFrame, vector: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
+    """(label_a, label_b, distance) for label_a < label_b."""
+    known = stage(centroids(df.where(F.col(label).isNotNull()), vector, label).select(F.col(label).alias("label"), "centroid"))
+    pairs = _between_centroids(*_blocks(known, block)).where(F.col("label_a") < F.col("label_b"))
+    return pairs.select("label_a", "label_b", "distance")

@@ -8,8 +8,10 @@ highest rank that still belongs to the sample:
 2. only that bucket, 1/65,536 of a class, is put in order,
 3. the table is filtered by the cut.
 
-Steps 1 and 2 read the key and the class alone. Step 3 is a plain filter, so
-texts are neither shuffled nor sorted, however large a class is.
+Steps 1 and 2 read the key and the class alone. Step 3 compares each row with the
+cut of its class: texts are neither shuffled nor sorted, however large a class
+is, while the table of cuts is small enough for Spark to broadcast. There may be
+any number of classes: what is one row per class stays a distributed table.
 """
 
 from __future__ import annotations
@@ -18,14 +20,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexitally.sources.stage import stage
+
 PREFIX = 4  # hex digits of the hash, 65,536 buckets
-MAX_CLASSES = 1_000
 
 
 def hash_rank(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """The rows with their place in a total order, from 1.
+
+    Rows are dealt out by ranges of the order and sorted there; only the sizes of
+    the ranges, one row each, are summed up in one place.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return rows.select(*df.columns, (F.col("_before") + place + 1).alias(name))
+
+
 def _below_cut(df: DataFrame, quotas: DataFrame, group: Column, key: str, seed: int) -> DataFrame:
     """Rows up to the cut of their group. `quotas` holds (group, quota), quota <= group size."""
     rank = hash_rank(key, seed)
@@ -35,19 +54,18 @@ def _below_cut(df: DataFrame, quotas: DataFrame, group: Column, key: str, seed:
     before = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(quotas, "group")
     edge = counts.where((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
-    # One bucket per group.
-    edge = edge.select("group", "bucket", (F.col("quota") - F.col("before")).alias("take"))
+    # One bucket per group, and one cut; both are staged, so that Spark knows how large they are.
+    edge = stage(edge.select("group", "bucket", (F.col("quota") - F.col("before")).alias("take")))
     order = Window.partitionBy("group").orderBy("rank", "key")
     cuts = (
         ranks.withColumn("bucket", bucket)
-        .join(F.broadcast(edge), ["group", "bucket"])
+        .join(edge, ["group", "bucket"])
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") == F.col("take"))
     )
-    cut = F.struct("rank", "key")
-    by_group = cuts.agg(F.map_from_entries(F.collect_list(F.struct("group", cut))).alias("cuts")).scalar()
+    cuts = stage(cuts.select(F.col("group").alias("_group"), F.struct("rank", "key").alias("_cut")))
     own = F.struct(rank.alias("rank"), F.col(key).alias("key"))
-    return df.where(own <= F.try_element_at(by_group, group))
+    return df.join(cuts, (group == F.col("_group")) & (own <= F.col("_cut"))).select(df.columns)
 
 
 def sample_fixed(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -59,19 +77,18 @@ def sample_fixed(df: DataFrame, n: int, key: str = "doc_id", seed: int = 42) ->
 def stratified_quotas(df: DataFrame, n: int, label: str = "label") -> DataFrame:
     """(label, quota): floor of the proportional share, then one more for the
     largest remainders, ties to the lower class. Never more than the class has."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    # One row per class: the windows below see a few rows.
-    everything = Window.partitionBy(F.lit(1))
-    share = F.least(F.lit(n), F.col("total")) * F.col("size") / F.col("total")
-    shares = (
-        sizes.withColumns({"total": F.sum("size").over(everything), "classes": F.count("size").over(everything)})
-        .where(F.when(F.col("classes") <= MAX_CLASSES, True).otherwise(F.raise_error(F.lit("too many classes"))))
-        .select(label, "size", "total", F.floor(share).alias("whole"), (share - F.floor(share)).alias("rest"))
-    )
-    order = everything.orderBy(F.desc(F.round("rest", 9)), label)
-    spare = F.least(F.lit(n), F.col("total")) - F.sum("whole").over(everything)
-    extra = (F.row_number().over(order) <= spare).cast("long")
-    return shares.select(label, F.least(F.col("whole") + extra, F.col("size")).alias("quota"))
+    sizes = stage(df.groupBy(F.col(label).alias("group")).agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    wanted = min(n, total)
+    # Whole numbers: what is left over of the share is compared exactly.
+    share = F.col("size").cast("decimal(18,0)") * F.lit(wanted).cast("decimal(18,0)")
+    rest = share - F.col("whole") * F.lit(total).cast("decimal(18,0)")
+    shares = sizes.withColumn("whole", F.expr(f"(cast(size as decimal(18,0)) * {wanted}bd) div {max(total, 1)}bd"))
+    shares = shares.withColumn("rest", rest)
+    spare = wanted - shares.agg(F.coalesce(F.sum("whole"), F.lit(0))).first()[0]
+    ranked = numbered(shares, [F.col("rest").desc(), F.col("group").asc()])
+    extra = (F.col("number") <= spare).cast("long")
+    return ranked.select(F.col("group").alias(label), F.least(F.col("whole") + extra, F.col("size")).alias("quota"))
 
 
 def sample_stratified(

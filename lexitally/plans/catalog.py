@@ -325,6 +325,11 @@ def variant_metrics(spark, d):
     return vs.variant_metrics(*split_corpus(spark, d))
 
 
+@query
+def model_comparison(spark, d):
+    return vs.model_comparison(*split_corpus(spark, d))
+
+
 def new_texts(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
 

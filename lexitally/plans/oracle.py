@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lexitally.functions.stem import IRREGULAR, STEP_2, STEP_3, STEP_4
 from lexitally.functions.words import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS, STYLE_LEXICON, matchable
-from lexitally.plans.variants import VARIANTS, Variant
+from lexitally.plans.variants import VARIANTS, Variant, crossed
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 PUNCT = r"[!-/:-@\[-`{-~]"
@@ -313,6 +313,26 @@ SELECT vec_id, round(s_0, 6) AS score_0, round(s_1, 6) AS score_1, round(s_2, 6)
 FROM scores"""
 
 
+def model_comparison() -> str:
+    variants = crossed()
+    factors = ", ".join(f"('{v.name}', '{v.cleaning}', {v.high}, {v.min_df})" for v in variants)
+    return f"""WITH {bayes(variants)},
+{REPORT},
+totals AS (SELECT variant, count(*) AS n, avg((label = prediction)::INT) AS accuracy FROM predicted GROUP BY variant),
+factors(variant, cleaning, high, min_df) AS (VALUES {factors}),
+shown AS (
+  SELECT variant, n, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1
+  FROM report JOIN totals USING (variant) WHERE label = 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY shown.f1 DESC, shown.accuracy DESC, variant)::INTEGER AS rank FROM shown),
+best AS (SELECT doc_id, label = prediction AS hit FROM predicted JOIN ranked USING (variant) WHERE rank = 1),
+paired AS (
+  SELECT variant, count(*) FILTER (hit AND label <> prediction) AS worse, count(*) FILTER (NOT hit AND label = prediction) AS better
+  FROM predicted JOIN best USING (doc_id) GROUP BY variant)
+SELECT variant, cleaning, high, min_df, rank, n, accuracy, precision, recall, f1, worse, better,
+  CASE WHEN worse + better = 0 THEN 0.0::DOUBLE ELSE round(greatest(abs(worse - better) - 1, 0)::DOUBLE ** 2 / (worse + better), 4) END AS chi2
+FROM ranked JOIN factors USING (variant) JOIN paired USING (variant)"""
+
+
 # All entries are fractions of powers of two, so sums are exact.
 NETWORK = f"""ids AS (
   SELECT doc_id, list_concat([1::BIGINT],
@@ -391,6 +411,7 @@ def statements() -> dict[str, str]:
             totals AS (SELECT variant, count(*) AS n, avg((label = prediction)::INT) AS accuracy FROM predicted GROUP BY variant)
             SELECT variant, n, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall,
             round(f1, 4) AS f1 FROM report JOIN totals USING (variant) WHERE label = 1""",
+        "model_comparison": model_comparison(),
         "classify_new_texts": new,
         "classify_new_texts_stream": new,
         "batch_score_vectors": linear_head(),

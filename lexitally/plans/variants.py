@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.text import clean_text, count_terms, ngrams, tokenize
 from lexitally.functions.words import CUSTOM_STOPWORDS, ENGLISH_STOPWORDS
 from lexitally.operators.bayes import NaiveBayesModel, best_class, class_priors, fit, predict
-from lexitally.operators.evaluate import summary
+from lexitally.operators.evaluate import comparison, summary
 from lexitally.operators.terms import count_documents, is_small, long_rows, lookup, smooth_idf, term_stats, with_totals
 from lexitally.sources.stage import stage
 
@@ -234,3 +234,18 @@ def predict_variants(
 def variant_metrics(train: DataFrame, test: DataFrame, variants: Sequence[Variant] = VARIANTS) -> DataFrame:
     """One row per variant: accuracy and the report of the positive class."""
     return summary(predict_variants(train, test, variants), by=("variant",))
+
+
+def crossed(cleanings: Sequence[str] = ("raw", "default", "custom"), highs: Sequence[int] = (1, 2), floors: Sequence[int] = (1, 3)) -> tuple[Variant, ...]:
+    """Every kind of cleaning with every kind of terms and every floor, so that no factor hides another."""
+    return tuple(Variant(f"{c}-{h}-{f}", c, h, f) for c in cleanings for h in highs for f in floors)
+
+
+def model_comparison(train: DataFrame, test: DataFrame, variants: Sequence[Variant] | None = None) -> DataFrame:
+    """The crossed variants ranked, each with its factors and a paired test against the first."""
+    variants = variants or crossed()
+    ranked = comparison(stage(predict_variants(train, test, variants)))
+    factors = F.create_map(
+        *[x for v in variants for x in (F.lit(v.name), F.struct(F.lit(v.cleaning).alias("cleaning"), F.lit(v.high).alias("high"), F.lit(v.min_df).alias("min_df")))]
+    )
+    return ranked.select("variant", factors[F.col("variant")].alias("f"), *ranked.columns[1:]).select("variant", "f.*", *ranked.columns[1:])

@@ -37,3 +37,17 @@ def test_by_groups(spark):
     df = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("b", 0, 1), ("b", 1, 1)], "v string, label int, prediction int")
     rows = {r.v: r for r in evaluate.summary(df, by=("v",)).collect()}
     assert (rows["a"].accuracy, rows["b"].accuracy, rows["b"].precision, rows["b"].recall) == (1.0, 0.5, 0.5, 1.0)
+
+
+def test_comparison(spark):
+    """Ranks with ties, and the paired counts against the first model."""
+    truth = {i: i % 2 for i in range(40)}
+    wrong = {"a": {1, 3}, "b": {1, 3}, "c": set(range(0, 40, 2)), "d": {1}}
+    rows = [(m, i, t, 1 - t if i in bad else t) for m, bad in wrong.items() for i, t in truth.items()]
+    df = spark.createDataFrame(rows, "variant string, doc_id int, label int, prediction int")
+    found = {r.variant: r for r in evaluate.comparison(df).collect()}
+    assert [m for m in sorted(found, key=lambda m: found[m]["rank"])] == ["d", "a", "b", "c"]
+    assert (found["d"].worse, found["d"].better, found["d"].chi2) == (0, 0, 0.0)
+    assert (found["a"].worse, found["a"].better, found["a"].chi2) == (1, 0, 0.0)
+    assert (found["c"].worse, found["c"].better) == (20, 1)
+    assert found["c"].chi2 == round((19 - 1) ** 2 / 21, 4)

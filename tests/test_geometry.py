@@ -86,6 +86,31 @@ def test_class_geometry(vectors, local):
         assert r.distance == pytest.approx(np.linalg.norm(centres[r.label_a] - centres[r.label_b]))
 
 
+@pytest.mark.parametrize("block", [geometry.BLOCK, 7])
+def test_many_classes(spark, block):
+    """More classes than one block holds, some of one row, some that overlap, rows without a class."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 60, 700)
+    x = rng.normal(size=(700, 4)) + y[:, None] * 0.3
+    rows = [(int(c), v.tolist()) for c, v in zip(y, x)] + [(1000, [50.0] * 4), (None, [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "kind int, embedding array<double>").repartition(5)
+    y, x = np.append(y, 1000), np.vstack([x, [50.0] * 4])
+    centres = {c: x[y == c].mean(axis=0) for c in sorted(set(y))}
+    far = np.array([np.linalg.norm(x - m, axis=1) for m in centres.values()])
+    own = np.array([far[list(centres).index(c), i] for i, c in enumerate(y)])
+    mixed = {r.kind: (r.n, r.n_mixed) for r in geometry.mixed_region(frame, label="kind", block=block).collect()}
+    assert mixed == {c: (int((y == c).sum()), int((far.min(axis=0) < own - 1e-12)[y == c].sum())) for c in centres}
+    pairs = {(r.label_a, r.label_b): r.distance for r in geometry.centroid_distances(frame, label="kind", block=block).collect()}
+    names = list(centres)
+    assert len(pairs) == len(names) * (len(names) - 1) // 2
+    for (a, b), d in pairs.items():
+        assert a < b and d == pytest.approx(np.linalg.norm(centres[a] - centres[b]))
+    for r in geometry.class_dispersion(frame, label="kind").collect():
+        assert r.max_distance == pytest.approx(own[y == r.kind].max())
+    assert geometry.mixed_region(frame.limit(0), label="kind").collect() == []
+    assert geometry.centroid_distances(frame.limit(0), label="kind").collect() == []
+
+
 def test_covariance(vectors, local):
     x, _ = local
     wanted = np.cov(x.T)

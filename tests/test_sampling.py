@@ -44,3 +44,29 @@ def test_stratified(spark):
 def test_rows_without_class(spark):
     df = spark.createDataFrame([(1, 0), (2, None), (3, 1)], "doc_id long, label int")
     assert {r.doc_id for r in sampling.sample_stratified(df, 5).collect()} == {1, 3}
+
+
+def test_many_classes(spark):
+    """Thousands of classes, of which many have equal remainders."""
+    sizes = {c: 1 + c % 7 for c in range(3000)}
+    rows = [(f"{c}-{i}", c) for c, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, label int").repartition(6)
+    n, total = 2500, len(rows)
+    whole = {c: n * s // total for c, s in sizes.items()}
+    order = sorted(sizes, key=lambda c: (-(n * sizes[c] % total), c))
+    for c in order[: n - sum(whole.values())]:
+        whole[c] += 1
+    assert {r.label: r.quota for r in sampling.stratified_quotas(df, n).collect()} == whole
+    got = sampling.sample_stratified(df, n).collect()
+    assert len(got) == n and df.columns == list(got[0].asDict())
+    for c in range(0, 3000, 97):
+        wanted = sorted((k for k, label in rows if label == c), key=place)[: whole[c]]
+        assert {r.doc_id for r in got if r.label == c} == set(wanted)
+    assert sampling.sample_stratified(df.limit(0), n).collect() == []
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("a"), "id")
+    found = sampling.numbered(df, [F.col("a").desc(), F.col("id").asc()]).collect()
+    assert [(r.a, r.id) for r in sorted(found, key=lambda r: r.number)] == sorted(((i % 10, i) for i in range(1000)), key=lambda t: (-t[0], t[1]))
+    assert sorted(r.number for r in found) == list(range(1, 1001))
