@@ -31,7 +31,7 @@ SUPPORT = 100
 LONGEST = 5
 TOP = 2_000
 # Words of a shard, and bytes of text in a row of words.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 BYTES_AT_ONCE = 1 << 20
 # Bits of a bitmap.
 BITS = 1 << 24
@@ -203,6 +203,7 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
             return
         codes = number[at] * (int(number.max()) + 1) + number[at + 1]
         _, place, back, count = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        del codes
         kept = keep(block, k, at[place], count, place)
         if k == 2 and pairs is not None:
             kept &= pairs.has(block.hash_at(at[place], 2))
