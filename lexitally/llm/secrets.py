@@ -18,10 +18,12 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import lower_ascii, stage, whole_text
+from lexitally.llm.common import let, lower_ascii, stage, whole_text
 
 # More alternatives than this are not spelt out.
 MOST_STRINGS = 64
+# Numbers summed up in one go.
+SUM_BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,8 @@ MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Only from the start of a run on, so that a run of many such starts is read once.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
 
@@ -140,14 +143,22 @@ def vocabulary(rules: Sequence[Rule]) -> list[str]:
 
 
 def build_index(docs: DataFrame, grams: Sequence[str]) -> DataFrame:
-    """Postings (gram, doc_id): each document once per trigram of the vocabulary it contains."""
+    """Postings (gram, row): each row once per trigram of the vocabulary it contains.
+
+    A row is known by its id and a hash of its text, so rows without an id, and
+    rows of one id, have postings of their own.
+    """
     found = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("t"), g))
-    return docs.select("doc_id", lower_ascii(whole_text()).alias("t")).select("doc_id", F.explode(found).alias("gram"))
+    return docs.select(row_key(), lower_ascii(whole_text()).alias("t")).select("row", F.explode(found).alias("gram"))
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(doc_id, rules): which rules' queries a document meets. At most one entry per rule."""
-    held = index.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    """(row, rules): which rules' queries a row meets. At most one entry per rule."""
+    held = index.groupBy("row").agg(F.collect_set("gram").alias("grams"))
     asked = []
     for rule in rules:
         meets = F.lit(True)
@@ -160,70 +171,79 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 one = one | every
             meets = meets & one
         asked.append(F.when(meets, F.lit(rule.kind)))
-    return held.select("doc_id", F.array_compact(F.array(*asked)).alias("rules")).where(F.size("rules") > 0)
+    return held.select("row", F.array_compact(F.array(*asked)).alias("rules")).where(F.size("rules") > 0)
 
 
 def no_spans() -> Column:
     return F.array().cast("array<struct<start:bigint,number:int,end:bigint,kind:string>>")
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of the first 1, 2, 3, ... numbers of an array.
+
+    In blocks: an element is only ever copied within its block, so long arrays
+    take time in proportion.
+    """
+
+    def summed(block: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+        return F.aggregate(
+            block, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"] + x).alias("all"))
+        )
+
+    def put_together(blocks: Column) -> Column:
+        ends = summed(F.transform(blocks, lambda b: b["sum"]))["all"]
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        return F.flatten(F.transform(blocks, lambda b, i: F.transform(b["all"], lambda x: x + before(i))))
+
+    n = F.ceil(F.size(values) / SUM_BLOCK).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: summed(F.slice(values, (i - 1) * SUM_BLOCK + 1, F.lit(SUM_BLOCK))))
+    return let(parts, put_together)
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end, kind): leftmost matches that do not overlap, in code points."""
     pattern = F.lit(rule.pattern)
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
 
-    def placed(lengths: Column) -> Column:
-        # One walk over gaps and matches; start and end of every match.
-        return F.aggregate(
-            lengths,
-            F.struct(F.lit(0).cast("long").alias("at"), no_spans().alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["own"]).alias("at"),
-                F.when(
-                    x["checked"] >= rule.least,
-                    F.array_append(
-                        acc["out"],
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            F.lit(number).alias("number"),
-                            (acc["at"] + x["gap"] + x["own"]).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        ),
-                    ),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
+    def placed(own: Column) -> Column:
+        # Every match with the gap before it; the last gap has no match behind it.
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(own))
+        steps = F.zip_with(gaps, own, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
+        return let(
+            running_sums(steps),
+            lambda ends: F.transform(
+                own,
+                lambda m, i: F.struct(
+                    (F.get(ends, i) - F.length(m)).alias("start"),
+                    F.lit(number).alias("number"),
+                    F.get(ends, i).alias("end"),
+                    F.lit(rule.kind).alias("kind"),
+                ),
             ),
-            lambda acc: acc["out"],
         )
 
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    lengths = F.zip_with(
-        F.arrays_zip(matches.alias("own"), checked.alias("checked")),
-        F.split(text, rule.pattern, -1),
-        # The last gap has no match behind it.
-        lambda m, gap: F.struct(
-            F.length(gap).cast("long").alias("gap"),
-            F.length(m["own"]).cast("long").alias("own"),
-            F.length(m["checked"]).alias("checked"),
-        ),
-    )
-    whole = F.filter(lengths, lambda x: x["own"].isNotNull())
-    return F.when(F.rlike(text, pattern), placed(whole)).otherwise(no_spans())
+    def kept(spans: Column) -> Column:
+        pairs = F.arrays_zip(spans.alias("span"), checked.alias("checked"))
+        return F.transform(F.filter(pairs, lambda p: F.length(p["checked"]) >= rule.least), lambda p: p["span"])
+
+    every = let(matches, placed)
+    return F.when(F.rlike(text, pattern), kept(every) if rule.group or rule.least > 1 else every).otherwise(no_spans())
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(doc_id, found) of every row: all spans by start, then in the order of the rules.
 
-    A null text counts as empty. Repeated ids share their postings, which only
-    adds texts to verify; null ids meet null ids. An empty table gives no rows.
+    A null text counts as empty. Equal rows share their postings; so may rows of
+    one hash by chance, which only adds texts to verify. An empty table gives no
+    rows.
     """
     grams = vocabulary(rules)
     index = stage(build_index(docs, grams))
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    asked = candidates(index, indexed).withColumnRenamed("doc_id", "_id")
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    texts = docs.select("doc_id", row_key(), whole_text().alias("text"))
+    met = texts.join(candidates(index, indexed), "row", "left")
     parts = []
     for number, rule in enumerate(rules):
         spans = spans_of(F.col("text"), rule, number)

@@ -63,27 +63,79 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-def test_secrets(tables):
-    rules = [
-        (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "assign", 1, 6),
-        ("AKIA[A-Z0-9]+", "access", 0, 20),
-        ("[0-9a-f]+", "hex", 0, 24),
-    ]
-    for docs in tables:
+SECRET_RULES = [
+    (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "assign", 1, 6),
+    ("AKIA[A-Z0-9]+", "access", 0, 20),
+    ("[0-9a-f]+", "hex", 0, 24),
+    ("-----BEGIN [A-Z ]*PRIVATE KEY-----", "private_key", 0, 1),
+    ("gh[pousr]_[A-Za-z0-9]{36}", "forge_token", 0, 1),
+    ("xox[abprs]-[A-Za-z0-9-]{10,}", "chat_token", 0, 1),
+    (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "web_token", 0, 1),
+]
+SECRETS = [
+    "-----BEGIN RSA PRIVATE KEY----- x -----BEGIN PRIVATE KEY-----",
+    "ghp_" + "a1" * 18 + " ghx_" + "a1" * 18 + " gho_" + "Z" * 37,
+    "xoxb-1234567890-abc xoxz-1234567890 xoxp-short",
+    "eyJ" + "a" * 8 + ".eyJ" + "b" * 9 + "." + "c" * 10 + " xeyJ" + "a" * 8 + ".eyJ" + "b" * 9 + "." + "c" * 10,
+    "é token = " + "k" * 6 + " AKIA" + "A" * 16 + "\n" + "0af9" * 6 + " TOKEN:short passwd='longer_than_six'" * 3,
+    None,
+]
+
+
+def plain_secrets(text):
+    """All spans by start, then rule."""
+    return sorted(
+        (m.start(), i, m.end(), kind)
+        for i, (pattern, kind, group, least) in enumerate(SECRET_RULES)
+        for m in re.finditer(pattern, text, re.ASCII)
+        if len(m.group(group)) >= least
+    )
+
+
+def test_secrets(spark, tables):
+    planted = spark.createDataFrame([(i % 4 or None, t) for i, t in enumerate(SECRETS * 2)], "doc_id bigint, text string")
+    written = lambda spans: ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in spans)
+    for docs in [*tables, planted]:
         wanted = []
         for doc, text in texts(docs):
-            spans = sorted(
-                (m.start(), i, m.end(), kind)
-                for i, (pattern, kind, group, least) in enumerate(rules)
-                for m in re.finditer(pattern, text, re.ASCII)
-                if len(m.group(group)) >= least
-            )
+            spans = plain_secrets(text)
             counts = Counter(s[1] for s in spans)
-            written = ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in spans)
-            wanted.append((doc, counts[0], counts[1], counts[2], sha(written.encode())))
+            base = written(s for s in spans if s[1] < 3)
+            wanted.append((doc, counts[0], counts[1], counts[2], sha(base.encode()), written(spans)))
         found = secrets.secret_report(docs)
-        columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
-        assert sorted(map(tuple, found.select(columns).collect())) == sorted(wanted)
+        columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        assert sorted(map(tuple, found.select(columns).collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_many_secrets_in_one_text(spark):
+    """Spans of a text of very many matches, and starts that would be read again and again."""
+    many = " ".join(["0123456789abcdef" * 2, "token=abcdefgh"] * 20_000)
+    docs = spark.createDataFrame([(1, many), (2, "eyJ" * 100_000), (3, "eyJaaaaaaaa." * 30_000)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in secrets.secret_report(docs).collect()}
+    assert (found[1].n_hex, found[1].n_assign) == (20_000, 20_000)
+    assert found[1].spans == ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in plain_secrets(many))
+    assert found[2].spans == "" and found[3].spans == ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in plain_secrets("eyJaaaaaaaa." * 30_000))
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(6)
+    rows = [(rng.integers(0, 9, n).tolist(),) for n in (0, 1, 2, 127, 128, 129, 256, 1000)]
+    frame = spark.createDataFrame(rows, "x array<bigint>").select("x", secrets.running_sums(F.col("x")).alias("s"))
+    for r in frame.collect():
+        assert r.s == np.cumsum(r.x).tolist()
+
+
+def test_trigram_queries():
+    """Every match of a pattern meets the pattern's query; a pattern without long strings asks for nothing."""
+    assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("a.c|xyz") == []
+    assert secrets.trigram_query("abcd") == [[frozenset({"abc", "bcd"})]]
+    assert sorted(map(sorted, secrets.trigram_query("(?:abc|xyz)[0-9]+"  "")[0])) == [["abc"], ["xyz"]]
+    for pattern, kind, *_ in SECRET_RULES:
+        query = secrets.trigram_query(next(r.pattern for r in secrets.RULES if r.kind == kind))
+        for text in [*filter(None, SECRETS), *filter(None, TEXTS)]:
+            for m in re.finditer(pattern, text, re.ASCII):
+                held = secrets.trigrams(m.group().lower())
+                assert all(any(grams <= held for grams in clause) for clause in query)
 
 
 def test_shards(tables):
