@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexitally.functions.text import let
 from lexitally.sources.stage import stage
 
-__all__ = ["ASCII_LOWER", "WORD", "bounded", "let", "lower_ascii", "plain", "ship", "stage", "table", "whole_text", "words_of"]
+__all__ = ["ASCII_LOWER", "WORD", "bounded", "join_split", "let", "lower_ascii", "plain", "ship", "stage", "table", "whole_text", "words_of"]
 
 # A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,3 +87,20 @@ def words_of(text: str | Column = "text") -> Column:
 def lower_ascii(value: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# A key is heavy from 1/HEAVY of all rows on, so at most HEAVY keys are.
+HEAVY = 10_000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, n: str = "n", heavy: int = HEAVY) -> DataFrame:
+    """Inner join of staged rows with a staged table of one row per key, where `n` counts the rows of the key.
+
+    The few heavy keys are broadcast, `heavy` rows at most, and their rows stay
+    where they are; the rows of all other keys meet by a shuffle that is even.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    is_heavy = F.col(n) * heavy >= total
+    near = rows.join(F.broadcast(table.where(is_heavy).drop(n)), key)
+    far = rows.join(F.broadcast(table.where(is_heavy).select(key)), key, "left_anti").join(table.where(~is_heavy).drop(n), key)
+    return near.unionByName(far)

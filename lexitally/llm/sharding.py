@@ -5,8 +5,9 @@ capacity for which a greedy sweep needs no more than the wanted shards is found
 by binary search, and the shards are cut there. The sweep looks at group ends
 only, and never at all of them at once: the driver sees one end per cell of the
 byte line, and in each later round only cells of the short windows in which the
-cuts can still lie. When a window holds few enough ends, they are all fetched
-and the answer is exact.
+cuts can still lie. The windows are as wide as a few cells, also where a group
+is larger than a shard, so every round fetches as many ends as the one before
+and looks closer; the last round sees every end that matters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.llm.common import stage, whole_text
+from lexitally.llm.common import join_split, stage, whole_text
 
 CELLS = 100_000
 OVERHEAD = 8
@@ -41,8 +42,8 @@ def in_order(sized: DataFrame) -> DataFrame:
     task sums its own rows, and one number per task is carried over.
     """
     keys = ["first_id", "digest", "doc_id"]
-    first = sized.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    dealt = sized.join(first, "digest").repartitionByRange(*keys)
+    first = stage(sized.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    dealt = join_split(sized, first, "digest").repartitionByRange(*keys)
     dealt = stage(dealt.withColumn("part", F.spark_partition_id()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -89,6 +90,34 @@ def smallest_capacity(ends: np.ndarray, shards: int, low: int, high: int) -> int
     return high
 
 
+def _reachable(ends: np.ndarray, low: int, high: int, shards: int, width: int, total: int) -> list[tuple[int, int]]:
+    """Where cuts can lie for any capacity from low to high, when only the last end of each cell is known.
+
+    A cut is the last end within reach of the cut before. That is the last known
+    end below the shortest reach, or an end in the cell of the next known one or
+    beyond, up to the longest reach. The two may lie far apart, with a group
+    larger than a shard between them, so they are kept as two places.
+    """
+    at, found = [(0, 0)], []
+    for _ in range(shards):
+        after = []
+        for first, last in at:
+            near, far = min(total, first + low), min(total, last + high)
+            k = int(np.searchsorted(ends, near, side="right"))
+            before = int(ends[k - 1]) if k else 0
+            after.append((before, before))
+            if k < len(ends):
+                opens = max(before, int(ends[k]) // width * width)
+                m = int(np.searchsorted(ends, far, side="right"))
+                unknown = m < len(ends) and int(ends[m]) // width == far // width
+                closes = far if unknown else int(ends[m - 1]) if m else 0
+                if opens <= closes:
+                    after.append((opens, closes))
+        at = _merged(after)
+        found += at
+    return found
+
+
 def _merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for low, high in sorted(windows):
@@ -114,14 +143,14 @@ def _fetch(ends: DataFrame, windows: list[tuple[int, int]], width: int) -> np.nd
     return found.sort_values("cum").to_numpy(dtype=np.int64).reshape(-1, 2)
 
 
-def find_cuts(ends: DataFrame, total: int, shards: int, cells: int = CELLS) -> list[tuple[int, int]]:
-    """(cum, row) after each shard, for the smallest largest shard.
+def find_cuts(ends: DataFrame, total: int, shards: int, cells: int = CELLS, largest: int = 0) -> list[tuple[int, int]]:
+    """(cum, row) after each shard, for the smallest largest shard; `largest` is the size of the largest group.
 
     Below that capacity the cuts are moved as near to equal shares as the ends
     that were fetched allow, so that one large group does not starve the rest.
     """
     windows = [(0, total)]
-    low, seen = -(-total // shards), None
+    low, seen = max(-(-total // shards), largest), None
     while True:
         width = max(1, -(-sum(b - a for a, b in windows) // cells))
         last = np.array([[total, -1]], dtype=np.int64)
@@ -133,11 +162,7 @@ def find_cuts(ends: DataFrame, total: int, shards: int, cells: int = CELLS) -> l
             break
         # A cut moves up by less than a cell when it is put on its cell's last end.
         low = max(low, high - width)
-        lower, upper, reach = greedy(found[:, 0], low, shards), [], 0
-        for _ in range(shards):
-            reach = min(total, reach + high)
-            upper.append(reach)
-        narrowed = _merged(list(zip(lower[:-1], upper[:-1], strict=True)))
+        narrowed = _merged(_reachable(found[:, 0], low, high, shards, width, total))
         windows = narrowed if sum(b - a for a, b in narrowed) < sum(b - a for a, b in windows) else windows
         if narrowed is not windows or not narrowed:
             cells *= 4
@@ -172,10 +197,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, cells: int = CELLS) -> Da
     """
     placed = stage(in_order(stage(measured(docs))))
     ends = stage(
-        placed.groupBy("first_id", "digest").agg(F.max("cum").alias("cum"), F.max("row").alias("row")).select("cum", "row")
+        placed.groupBy("first_id", "digest")
+        .agg(F.max("cum").alias("cum"), F.max("row").alias("row"), F.sum("size").alias("group"))
+        .select("cum", "row", "group")
     )
-    total, rows = placed.agg(F.max("cum"), F.max("row")).first()
-    cuts = find_cuts(ends, total, shards, cells) if total else [(0, 0)] * shards
+    total, rows, largest = ends.agg(F.max("cum"), F.max("row"), F.max("group")).first()
+    cuts = find_cuts(ends, total, shards, cells, largest) if total else [(0, 0)] * shards
     cuts = [(c, rows if c == total else r) for c, r in cuts]
     shard = sum(((F.col("cum") > c).cast("int") for c, _ in cuts[:-1]), F.lit(0))
     starts = F.array(*[F.lit(r).cast("long") for r in (0, *[r for _, r in cuts[:-1]])])

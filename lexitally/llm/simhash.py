@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import ASCII_LOWER, plain, ship, stage
+from lexitally.llm.common import ASCII_LOWER, join_split, plain, ship, stage
 from lexitally.llm.components import components
 
 BITS = 64
@@ -191,14 +191,17 @@ def near_duplicates(
     none. Repeated rows are rows of their own; an empty table gives no rows.
     """
     marked = stage(fingerprints(ship(docs), shingle))
-    entries = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    entries = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = components(links(entries.select("fp"), distance, crowd))
-    classes = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    classes = stage(
+        entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "first_id", "n", F.coalesce("root", "fp").alias("root")
+        )
     )
-    lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+    # Large components, and fingerprints that very many texts share, meet their rows where these are.
+    lowest = stage(classes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
+    named = stage(join_split(classes, lowest, "root", "rows").select("fp", "component_id", "n"))
+    return join_split(marked, named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import plain, ship, stage
+from lexitally.llm.common import join_split, plain, ship, stage
 
 WINDOW = 50
 PREFIX = 16
@@ -315,11 +315,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, gr
     starts = stage(starts.select("_uid", "a.run", "a.at"))
     shared = (
         starts.groupBy("run")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_uid").alias("lo"), F.max("_uid").alias("hi"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("_uid").alias("lo"), F.max("_uid").alias("hi"))
         .where("lo < hi")
-        .select("run", "n")
+        .select("run", "rows", F.col("rows").alias("n"))
     )
-    live = starts.join(shared, "run").groupBy("_uid").agg(F.collect_list(F.struct("at", "run", "n")).alias("live"))
+    # A run that very many texts share meets its rows where they are.
+    live = join_split(starts, stage(shared), "run", "rows").groupBy("_uid").agg(F.collect_list(F.struct("at", "run", "n")).alias("live"))
     dealt = _contexts(rows.select("_uid", "doc_id", "_blob").join(live, "_uid"), window, prefix, group)
     dealt = dealt.repartition("key").sortWithinPartitions("key")
     judged = stage(_group_repeats(dealt, window))

@@ -166,6 +166,81 @@ def test_shards(tables):
             assert all(zlib.crc32(of_text[d].encode()) == c for d, c in zip(rows.doc_id, rows.text_crc32))
 
 
+@pytest.mark.parametrize("seed, n, share, place", [(1, 300_000, 0.2, 0.5), (2, 300_000, 0.2, 0.02), (3, 50_000, 0.0, 0), (4, 5_000, 0.9, 0.9), (5, 7, 0.5, 0)])
+def test_cuts_fetch_few_ends(monkeypatch, seed, n, share, place):
+    """The exact capacity with few ends on the driver, also where one group is larger than a shard."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(9, 4000, n)
+    if share:
+        sizes[int(place * n)] = int(sizes.sum() * share / (1 - share))
+    ends = np.cumsum(sizes)
+    fetched = []
+
+    def fetch(_, windows, width):
+        inside = np.zeros(n, dtype=bool)
+        for a, b in windows:
+            inside |= (ends >= a) & (ends <= b)
+        rows = np.flatnonzero(inside)
+        rows = rows[np.append(np.diff(ends[rows] // width) > 0, True)] if len(rows) else rows
+        fetched.append(len(rows))
+        return np.stack([ends[rows], rows + 1], axis=1)
+
+    monkeypatch.setattr(sharding, "_fetch", fetch)
+    cuts = sharding.find_cuts(None, int(ends[-1]), 24, cells=20_000, largest=int(sizes.max()))
+    assert max(fetched) <= 20_000 + 2 * 24
+    largest = max(b - a for a, b in zip([0, *[c for c, _ in cuts]], [c for c, _ in cuts]))
+    low, high = int(sizes.max()), int(ends[-1])
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sharding.greedy(ends, middle, 24)[-1] == ends[-1] else (middle + 1, high)
+    assert largest == low and cuts[-1][0] == ends[-1]
+
+
+def test_layout_of_segments():
+    """However many fingerprints: at least two segments, few values asked for, and no link can be missed."""
+    for count in (1, 2, 10**3, 2**21, 2**22, 2**32, 2 * 10**10, 2**60):
+        layout = simhash.segments(count, 4)
+        assert len(layout) >= 2
+        assert sum(len(simhash._ball(width, radius)) for _, width, radius in layout) <= 600
+        for cut in range(6):
+            # Any 4 differing bits leave some segment within its radius.
+            bits = np.random.default_rng(cut).choice(64, 4, replace=False)
+            assert any(sum(at <= b < at + width for b in bits) <= radius for at, width, radius in layout)
+
+
+def test_small_examples_fill_sequences(spark):
+    """Very short documents: no limit of segments leaves a sequence half empty."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text")).coalesce(1)
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    used = [r.used for r in rows.groupBy("sequence_id").agg(F.sum("length").alias("used")).collect()]
+    assert sum(used) == 45_000
+    assert all(u == 4096 or u & (u - 1) == 0 for u in used)
+
+
+def test_packer_keeps_every_limit():
+    """Tokens, segments and loss-bearing tokens of each sequence; nothing is lost or cut where that is not allowed."""
+    rng = np.random.default_rng(8)
+    for limits, cut in (((100, 5, 40), True), ((100, 5, 40), False), ((64, 64, 64), True), ((100, 1, 100), False)):
+        packer = packing.Packer(limits, cut, buffer=16)
+        examples = [(int(t), int(min(t, l))) for t, l in zip(rng.integers(1, 60 if not cut else 300, 400), rng.integers(0, 41, 400))]
+        placed = [p for i, (t, l) in enumerate(examples) for p in packer.add(i, t, l)] + list(packer.finish())
+        used = {}
+        for key, start, length, sequence, offset in placed:
+            tokens, loss = examples[key]
+            row = used.setdefault(sequence, [0, 0, 0])
+            assert row[0] == offset
+            row[0] += length
+            row[1] += 1
+            row[2] += max(0, start + length - max(start, tokens - loss))
+        assert all(a <= b for row in used.values() for a, b in zip(row, limits))
+        for i, (tokens, _) in enumerate(examples):
+            mine = sorted((s, n) for k, s, n, *_ in placed if k == i)
+            assert sum(n for _, n in mine) == tokens and all(a[0] + a[1] == b[0] for a, b in zip(mine, mine[1:]))
+            assert cut or len(mine) == 1
+    with pytest.raises(ValueError):
+        list(packing.Packer((10, 5, 10), False).add(0, 11, 1))
+
+
 def test_quality(spark, tables):
     labels = spark.createDataFrame([], LABELS)
     for docs in tables:
