@@ -4,7 +4,9 @@ A rule rejects texts above a cutoff of one measure. Which cutoff is safe is read
 from labelled texts: on each stratum, a cutoff passes if the exact binomial test
 refutes, at a level shared out over all rules, cutoffs and strata, that it would
 reject more than an allowed share of good texts. The strictest cutoff that passes
-is used. Where too few labels speak for any, the rule stays off.
+is used. Where too few labels speak for any, the rule stays off. The grid of
+cutoffs is fixed before any text is seen and nothing else is fitted, so every
+labelled text is a holdout; the correction over the whole grid pays for the choice.
 """
 
 from __future__ import annotations

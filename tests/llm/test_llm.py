@@ -267,6 +267,49 @@ def test_cutoffs_hold_their_risk(spark, given):
     assert left.where("NOT kept").count() <= quality.Risk().share * left.count()
 
 
+def test_cutoffs_of_planted_labels(spark):
+    """One stratum with labels enough for a cutoff, one with too few, one whose good texts are full of symbols."""
+    from fractions import Fraction
+    from math import comb
+
+    def text(i, symbols):
+        return " ".join(f"{k}x{i % 700}" + "#" * (symbols // 40 + (k < symbols % 40)) for k in range(40))
+
+    rng = np.random.default_rng(9)
+    planted = []  # (stratum, symbols, quality)
+    planted += [("en", int(s), 1) for s in rng.choice([0, 1, 3, 9], 4000, p=[0.9, 0.0975, 0.002, 0.0005])]
+    planted += [("fr", 0, 1)] * 200 + [("de", int(s), 1) for s in rng.integers(0, 60, 2500)]
+    planted += [(g, 50, 0) for g in ("en", "fr", "de") for _ in range(300)] + [(None, 60, 1)] * 3
+    docs = spark.createDataFrame([(i, text(i, s), g) for i, (g, s, _) in enumerate(planted)], "doc_id bigint, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(planted)], "doc_id bigint, quality int")
+    risk = quality.Risk()
+    strata = {g for g, _, _ in planted}
+    share = Fraction(2, 100) / len(risk.rules)
+    tests = sum(len(r.cutoffs) for r in risk.rules) * len(strata)
+    wanted = {}
+    for g in strata:
+        good = [s for h, s, q in planted if h == g and q == 1]
+        n = len(good)
+        for rule in risk.rules:
+            for cutoff in rule.cutoffs:
+                # No words or lines repeat, and words are shorter than any cutoff.
+                k = sum(s / 40 > cutoff for s in good) if rule.name == "symbols" else 0
+                tail = sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) if k < n * share else 1
+                if tail * tests <= Fraction(5, 100):
+                    wanted[g, rule.name] = min(cutoff, wanted.get((g, rule.name), cutoff))
+    found = {(r.stratum, r.rule): r.cutoff for r in quality.fit_cutoffs(quality.measured(docs), labels).collect()}
+    assert found == wanted
+    assert ("en", "symbols") in found and not any(g in ("fr", None) for g, _ in found) and ("de", "symbols") not in found
+    kept = {r.doc_id: r.kept for r in quality.quality_report(docs, labels).collect()}
+    for i, (g, s, _) in enumerate(planted):
+        assert kept[i] == (g != "en" or s / 40 <= found["en", "symbols"])
+    gone = [i for i, (g, _, q) in enumerate(planted) if not kept[i]]
+    assert sum(planted[i][2] == 0 for i in gone) == 300
+    assert sum(planted[i][2] == 1 for i in gone) <= 0.02 * 4000
+    rows = quality.keep_good(docs, labels)
+    assert rows.columns == docs.columns and rows.count() == len(planted) - len(gone)
+
+
 def test_binomial_tail(spark):
     from math import comb
 
