@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.functions.text import count_terms
+from lexitally.functions.text import count_terms, let
 from lexitally.sources.stage import stage
 
 # A key is heavy when it holds at least 1/HEAVY_SHARE of all rows, or its length
@@ -134,6 +134,23 @@ def known_counts(counted: DataFrame, terms: DataFrame) -> DataFrame:
     return lookup(long_rows(counted if small else stage(counted)), known, small)
 
 
+def dense(counted: DataFrame, chosen: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds `dense`: the counts of a short list of terms, in its order, zeros included.
+
+    The list, which sets the width of every row, comes in as a scalar subquery;
+    no text is moved.
+    """
+    width = Window.orderBy(*[F.expr(o.split()[0]).desc() if o.endswith(" desc") else F.col(o) for o in order])
+    numbered = chosen.select("term", F.row_number().over(width).alias("at"))
+    listed = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])).scalar()
+    # Bound once per row: the terms would be counted again for each place otherwise.
+    values = let(
+        F.map_from_entries("terms"),
+        lambda tf: F.transform(F.col("_terms"), lambda t: F.coalesce(F.try_element_at(tf, t), F.lit(0)).cast("double")),
+    )
+    return counted.withColumn("_terms", listed).withColumn("dense", values).drop("_terms", "terms")
+
+
 def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.ln((1.0 + n_docs) / (1.0 + df)) + 1.0
 
@@ -159,3 +176,9 @@ def tfidf(counted: DataFrame, idf: DataFrame) -> DataFrame:
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("raw") / norm).alias("value"))
+
+
+def tfidf_rows(counted: DataFrame, min_df: int = 1) -> DataFrame:
+    """TF-IDF rows of a corpus by its own weights; texts are counted once and written out."""
+    counted = stage(counted.select("doc_id", "terms"))
+    return tfidf(counted, idf_weights(counted, min_df))

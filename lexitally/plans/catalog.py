@@ -25,6 +25,7 @@ REGISTRY: dict[str, Query] = {}
 
 NEGATIVE, POSITIVE = "not toxic", "toxic"
 SAMPLE = 100
+DENSE = 30
 HEAD_CLASSES = 3
 WIDTH = 64
 NULL_MARK = "\\N"
@@ -251,6 +252,14 @@ def top_words_in_class(spark, d):
     return terms.top_terms(terms.term_totals(terms.count_documents(positive, kept)), 30)
 
 
+@query
+def dense_counts(spark, d):
+    counted = words_of(spark, d)
+    chosen = terms.top_terms(terms.term_totals(counted), DENSE)
+    rows = terms.dense(counted, chosen, ["n desc", "term"])
+    return rows.select("doc_id", F.posexplode("dense").alias("at", "value"))
+
+
 @query
 def idf_weights(spark, d):
     weights = terms.idf_weights(words_of(spark, d))
@@ -259,8 +268,7 @@ def idf_weights(spark, d):
 
 @query
 def tfidf_l2(spark, d):
-    counted = words_of(spark, d)
-    values = terms.tfidf(counted, terms.idf_weights(counted))
+    values = terms.tfidf_rows(words_of(spark, d))
     return values.select("doc_id", "term", F.round("value", 6).alias("value"))
 
 
@@ -494,7 +502,8 @@ def embedding_covariance(spark, d):
 
 @query
 def points_2d(spark, d):
-    return geometry.points_2d(table(spark, d, "embeddings"))
+    rows = geometry.points_2d(table(spark, d, "embeddings"))
+    return rows.withColumns({c: F.round(c, 4) for c in ("x", "y")})
 
 
 @query

@@ -313,6 +313,41 @@ SELECT vec_id, round(s_0, 6) AS score_0, round(s_1, 6) AS score_1, round(s_2, 6)
 FROM scores"""
 
 
+SQUARINGS = 12
+
+
+def leading(source: str, name: str) -> str:
+    """CTEs that end in <name>(dim, v): the leading eigenvector of source(i, j, v), by repeated squaring.
+
+    The 4096th power of a matrix is its leading direction, many digits exact
+    unless the next value is within a thousandth of the first.
+    """
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {source}) AS v FROM {source})"]
+    for k in range(SQUARINGS):
+        steps.append(f"{name}_p{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY ALL)")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {name}_p{k}) AS v FROM {name}_p{k})")
+    last = f"{name}_{SQUARINGS}"
+    steps.append(f"{name}_c AS (SELECT i AS dim, v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j))")
+    steps.append(
+        f"{name} AS MATERIALIZED (SELECT dim, v / (SELECT sqrt(sum(v * v)) FROM {name}_c)"
+        f" * (SELECT sign(arg_max(v, abs(v))) FROM {name}_c) AS v FROM {name}_c)"
+    )
+    return ",\n".join(steps)
+
+
+def points() -> str:
+    return f"""WITH {CENTROIDS},
+centre AS (SELECT dim, avg(x) AS m FROM parts GROUP BY dim),
+apart_of AS MATERIALIZED (SELECT vec_id, label, p.dim, x - m AS x FROM parts p JOIN centre c ON p.dim = c.dim),
+cov AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) AS v FROM apart_of a JOIN apart_of b ON a.vec_id = b.vec_id GROUP BY ALL),
+{leading("cov", "one")},
+size_of AS (SELECT sum(a.v * c.v * b.v) AS s FROM cov c JOIN one a ON a.dim = c.i JOIN one b ON b.dim = c.j),
+rest AS MATERIALIZED (SELECT i, j, c.v - s * a.v * b.v AS v FROM cov c JOIN one a ON a.dim = c.i JOIN one b ON b.dim = c.j, size_of),
+{leading("rest", "two")}
+SELECT vec_id, label, round(sum(x * one.v), 4) AS x, round(sum(x * two.v), 4) AS y
+FROM apart_of p JOIN one ON one.dim = p.dim JOIN two ON two.dim = p.dim GROUP BY vec_id, label"""
+
+
 def model_comparison() -> str:
     variants = crossed()
     factors = ", ".join(f"('{v.name}', '{v.cleaning}', {v.high}, {v.min_df})" for v in variants)
@@ -439,6 +474,11 @@ def statements() -> dict[str, str]:
             ranked AS (SELECT doc_id, toxic AS label,
                        row_number() OVER (PARTITION BY toxic ORDER BY md5(concat(doc_id, '-42')), doc_id) AS place FROM labels)
             SELECT doc_id, label FROM ranked JOIN quotas USING (label) WHERE place <= quota""",
+        "points_2d": points(),
+        "dense_counts": f"""{ALL_TF}, top AS (SELECT term, row_number() OVER (ORDER BY n DESC, term)::INT - 1 AS at
+              FROM (SELECT term, sum(tf) AS n FROM tf GROUP BY term) QUALIFY row_number() OVER (ORDER BY n DESC, term) <= 30)
+            SELECT d.doc_id, top.at, coalesce(tf.tf, 0)::DOUBLE AS value
+            FROM documents d CROSS JOIN top LEFT JOIN tf ON tf.doc_id = d.doc_id AND tf.term = top.term""",
         "embedding_covariance": f"""WITH {CENTROIDS}
             SELECT a.dim::INT AS i, b.dim::INT AS j, round(covar_samp(a.x, b.x), 8) AS value
             FROM parts a JOIN parts b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL""",

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lexitally.plans import catalog, oracle
 
 SMALL = "/root/testdata/sf0.001"
-ROWS_ONLY = {"pca_embeddings", "points_2d", "text_points"}
+ROWS_ONLY = {"pca_embeddings", "text_points"}
 
 
 @pytest.fixture(scope="module")
