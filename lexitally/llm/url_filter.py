@@ -98,10 +98,7 @@ def fit_levels(keys: DataFrame, rate: float = RATE) -> list[tuple[int, int, np.n
     while n_inside:
         if len(levels) == MAX_LEVELS:
             raise ValueError("two different keys share 128 bits of hash")
-        # The first level also has to thin out a rest that is far larger than the list.
-        wanted = min(rate, rate * n_inside / max(n_outside, 1)) if not levels else rate
-        probes = max(1, math.ceil(-math.log2(wanted)))
-        bits = max(64, math.ceil(n_inside * probes / math.log(2)))
+        probes, bits = _shape(n_inside, n_outside, not levels, rate)
         level = len(levels)
         levels.append((probes, bits, _bitmap(inside, level, probes, bits)))
         sent = spark.sparkContext.broadcast(levels[-1:])
@@ -111,6 +108,26 @@ def fit_levels(keys: DataFrame, rate: float = RATE) -> list[tuple[int, int, np.n
     return levels
 
 
+def _shape(n_inside: int, n_outside: int, first: bool, rate: float) -> tuple[int, int]:
+    """(probes, bits) of a level."""
+    # The first level also has to thin out a rest that is far larger than the list.
+    wanted = min(rate, rate * n_inside / max(n_outside, 1)) if first else rate
+    probes = max(1, math.ceil(-math.log2(wanted)))
+    return probes, max(64, math.ceil(n_inside * probes / math.log(2)))
+
+
+def expected_bits(n_inside: int, n_outside: int, rate: float = RATE) -> int:
+    """About how many bits all levels have together."""
+    total, first = 0, True
+    while n_inside >= 1:
+        probes, bits = _shape(n_inside, n_outside, first, rate)
+        total += bits
+        n_inside, n_outside, first = math.ceil(n_outside * 0.5**probes) if n_outside >= 1 else 0, n_inside, False
+        if bits == 64:
+            break
+    return total
+
+
 def _hits(sent, level: int) -> Column:
     @F.pandas_udf("boolean")
     def hit(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -133,8 +150,8 @@ def mark_listed(
     ship(rows)
     a, b = hashes(F.coalesce(key, F.lit("")))
     keys = stage(rows.select(a, b, F.coalesce(listed, F.lit(False)).alias("listed")).groupBy("a", "b").agg(F.max("listed").alias("listed")))
-    n_listed = keys.where("listed").count()
-    passes = max(1, math.ceil(n_listed * 16 / pass_bits))
+    n_listed, n_rest = keys.agg(F.count_if(F.col("listed")), F.count_if(~F.col("listed"))).first()
+    passes = max(1, math.ceil(expected_bits(n_listed, n_rest, rate) / pass_bits))
     out = None
     for turn in range(passes):
         mine = lambda column: F.pmod(column, F.lit(passes)) == turn

@@ -401,6 +401,13 @@ def test_urls(spark):
             assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
 
 
+def test_bits_of_a_cascade():
+    """A short list among very many keys takes more bits a key than a long one; the estimate says so."""
+    short, even = url_filter.expected_bits(10**6, 10**12), url_filter.expected_bits(10**6, 10**6)
+    assert short > 24 * 10**6 > 12 * 10**6 > even > 5 * 10**6
+    assert url_filter.expected_bits(0, 100) == 0 and url_filter.expected_bits(5, 0) >= 5
+
+
 def test_bpe(tables):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as lines:
