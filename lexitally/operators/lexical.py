@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.functions.text import empty_if_null, tokenize
+from lexitally.functions.text import count_terms, empty_if_null, ngrams, tokenize
 from lexitally.functions.words import STYLE_LEXICON
 from lexitally.operators.bayes import NaiveBayesModel
-from lexitally.operators.terms import long_rows, term_stats, with_totals
+from lexitally.operators.terms import is_small, long_rows, lookup, term_stats, with_totals
+from lexitally.sources.stage import stage
 
 
 def discriminative_words(model: NaiveBayesModel, k: int = 20) -> DataFrame:
@@ -98,6 +99,52 @@ def style_lexicon_rates(
     return sums.select("*", rate.alias("per_1000"))
 
 
+def phrase_lexicon(lexicon: DataFrame) -> DataFrame:
+    """(term, categories, words) of a lexicon table (category, phrase), one row per phrase as the tokenizer sees it.
+
+    Phrases without a token are left out; a repeated entry counts once; a phrase
+    may be in several categories.
+    """
+    tokens = lexicon.select(F.col("category").cast("string").alias("category"), tokenize(F.col("phrase")).alias("t")).where(F.size("t") > 0)
+    terms = tokens.select("category", F.array_join("t", " ").alias("term"), F.size("t").alias("words"))
+    return terms.groupBy("term").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.max("words").alias("words"))
+
+
+def lexicon_rates(corpus: DataFrame, lexicon: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
+    """(`by`, category, hits, tokens, per_1000) for a lexicon table of words and phrases, of any size.
+
+    A phrase counts wherever its words stand side by side among a text's tokens,
+    also inside another phrase. Texts are counted once, in runs as long as the
+    longest phrase; the runs meet the lexicon by a broadcast if it was counted
+    and found small, else by a join that no frequent run makes uneven. Every
+    category has a row for every `by` value of the corpus.
+    """
+    known = stage(phrase_lexicon(lexicon))
+    longest = known.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    grouped = [F.col(c).alias(n) for c, n in names.items()]
+    texts = corpus.select(*grouped, tokenize(F.col("text")).alias("t"))
+    counted = stage(
+        texts.select(*names.values(), F.size("t").cast("long").alias("tokens"), count_terms(ngrams(F.col("t"), 1, longest)).alias("terms"))
+    )
+    rows = long_rows(counted.drop("tokens"))
+    met = lookup(rows, known.select("term", "categories"), is_small(known))
+    hits = met.select(*names.values(), F.explode("categories").alias("category"), "tf")
+    sums = hits.groupBy(*names.values(), "category").agg(F.sum("tf").alias("hits"))
+    totals = counted.groupBy(*names.values()).agg(F.sum("tokens").alias("tokens"))
+    # As many rows as there are categories, for each `by` value.
+    every = known.select(F.explode("categories").alias("category")).distinct()
+    listed = every.agg(F.array_sort(F.collect_set("category"))).scalar()
+    cells = totals.select("*", F.explode(listed).alias("category"))
+    same = [F.col(f"c.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names.values()]
+    joined = cells.alias("c").join(sums.alias("s"), [*same, F.col("c.category") == F.col("s.category")], "left")
+    found = F.coalesce("s.hits", F.lit(0))
+    rate = F.coalesce(F.try_divide(1000.0 * found, F.col("c.tokens")), F.lit(0.0))
+    return joined.select(
+        *[F.col(f"c.{n}").alias(c) for c, n in names.items()], "c.category", found.alias("hits"), F.col("c.tokens").alias("tokens"), rate.alias("per_1000")
+    )
+
+
 # Marks counted by the punctuation report.
 PUNCTUATION_PATTERNS = {
     "exclamation": "!",

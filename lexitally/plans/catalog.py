@@ -569,6 +569,23 @@ def style_lexicon_rates(spark, d):
     return rows.withColumn("per_1000", F.round("per_1000", 6))
 
 
+@query
+def lexicon_phrase_rates(spark, d):
+    # A lexicon file made of the benchmark: how its passages open and end, three words and two.
+    tokens = tx.tokenize(F.col("text"))
+    parts = F.array(
+        F.struct(F.lit("opening").alias("category"), F.array_join(F.slice(tokens, 1, 3), " ").alias("phrase")),
+        F.struct(F.lit("word").alias("category"), F.array_join(F.slice(tokens, 1, 1), " ").alias("phrase")),
+        F.struct(F.lit("ending").alias("category"), F.array_join(F.reverse(F.slice(F.reverse(tokens), 1, 2)), " ").alias("phrase")),
+    )
+    path = f"{staging_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+    entries = table(spark, d, "benchmark").select(F.inline(parts))
+    entries.write.option("header", True).option("escape", '"').csv(path)
+    lexicon = src.read_csv(spark, path, "category string, phrase string", split=True)
+    rows = lexical.lexicon_rates(documents(spark, d), lexicon, by=("lang", "source"))
+    return rows.withColumn("per_1000", F.round("per_1000", 6))
+
+
 @query
 def punctuation_patterns(spark, d):
     rows = lexical.punctuation_patterns(corpus(spark, d))

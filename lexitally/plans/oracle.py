@@ -284,6 +284,24 @@ FROM cells LEFT JOIN hits ON cells.lang IS NOT DISTINCT FROM hits.lang AND cells
   AND cells.category = hits.category"""
 
 
+def phrases() -> str:
+    return f"""WITH opening AS (SELECT {tokens()} AS t FROM benchmark),
+entries AS (
+  SELECT 'opening' AS category, array_to_string(t[1:3], ' ') AS phrase FROM opening
+  UNION SELECT 'word', t[1] FROM opening UNION SELECT 'ending', array_to_string(t[-2:], ' ') FROM opening),
+lexicon AS (SELECT DISTINCT category, phrase FROM entries WHERE phrase IS NOT NULL AND phrase <> ''),
+texts AS MATERIALIZED (SELECT lang, source, {tokens()} AS t FROM documents),
+runs AS (
+  SELECT lang, source, array_to_string(t[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, source, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM texts, (SELECT unnest([1, 2, 3]) AS k))),
+hits AS (SELECT lang, source, category, count(*) AS hits FROM runs JOIN lexicon USING (phrase) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(len(t))::BIGINT AS tokens FROM texts GROUP BY ALL),
+cells AS (SELECT * FROM totals CROSS JOIN (SELECT DISTINCT category FROM lexicon))
+SELECT c.lang, c.source, c.category, coalesce(hits, 0)::BIGINT AS hits, tokens,
+  coalesce(round(1000.0::DOUBLE * coalesce(hits, 0) / nullif(tokens, 0), 6), 0) AS per_1000
+FROM cells c LEFT JOIN hits h ON c.lang IS NOT DISTINCT FROM h.lang AND c.source IS NOT DISTINCT FROM h.source AND c.category = h.category"""
+
+
 def punctuation() -> str:
     marks = {
         "exclamation": "!",
@@ -506,5 +524,6 @@ def statements() -> dict[str, str]:
             round(ln(((n_1 + 1) / (m_1 + v)) / ((n_0 + 1) / (m_0 + v))), 8) AS log_ratio,
             round(docs_0 / z_0, 8) AS presence_0, round(docs_1 / z_1, 8) AS presence_1 FROM s, m, z""",
         "style_lexicon_rates": style(),
+        "lexicon_phrase_rates": phrases(),
         "punctuation_patterns": punctuation(),
     }
