@@ -151,7 +151,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
     few = own.join(crowded, keys, "left_anti")
     # Nor are crowded values asked for here: all those rows would go to one task for nothing.
     apart = asked.join(crowded, keys, "left_anti")
-    pairs = few.join(apart.withColumnRenamed("fp", "other"), keys)
+    # Both sides are many times larger in memory than as shuffled bytes, by which Spark would choose
+    # to send one of them through the driver; so they always meet by a shuffle.
+    pairs = few.join(apart.withColumnRenamed("fp", "other").hint("merge"), keys)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
     pairs = pairs.where((F.col("fp") != F.col("other")) & close)
     edges = pairs.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v"))
@@ -175,7 +177,7 @@ def _meet(members: DataFrame, distance: int) -> DataFrame:
         lowest = inner.groupBy("point").agg(F.min("fp").alias("v"))
     else:
         lowest = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").drop("w")
-    met = points.join(lowest, "point").where("fp <> v")
+    met = points.join(lowest.hint("merge"), "point").where("fp <> v")
     return met.select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v")).distinct()
 
 
