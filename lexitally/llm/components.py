@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitally.llm.common import stage
+from lexitally.llm.common import HEAVY, stage
 
 # Each round at least halves the depth of a tree, so this is far beyond any graph.
 MOST_ROUNDS = 200
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = pairs.agg(*state).first()
     for _ in range(MOST_ROUNDS):
-        pairs = stage(_small_star(_large_star(pairs)))
+        # The large star is written, as the small one reads it three times.
+        pairs = stage(_small_star(stage(_large_star(pairs, before[0])), before[0]))
         now = pairs.agg(*state).first()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -81,19 +82,32 @@ def _contracted(pairs: DataFrame) -> DataFrame:
     return pairs.coalesce(max(1, -(-pairs.count() // CHUNK))).mapInArrow(run, "u long, v long")
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _met(pairs: DataFrame, lowest: DataFrame, key: str, total: int) -> DataFrame:
+    """`pairs` with `m` of `lowest` (key, m) where there is one, also for keys that hold a large share of the pairs.
+
+    These few keys are broadcast with what they get, so their pairs stay where
+    they are; all other keys meet by a shuffle that is even.
+    """
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HEAVY >= total)
+    heavy = lowest.join(F.broadcast(counts.drop("n")), key, "right")
+    near = pairs.join(F.broadcast(heavy), key)
+    far = pairs.join(F.broadcast(counts.select(key)), key, "left_anti").join(lowest.hint("merge"), key, "left")
+    return near.unionByName(far)
+
+
+def _large_star(pairs: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of a node move to the smallest of the node and its neighbours."""
     lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
     # (u, v) has u > v: u is a larger neighbour of v, whose lowest is v itself or below.
-    moved = pairs.join(lowest.select(F.col("u").alias("v"), "m").hint("merge"), "v", "left")
+    moved = _met(pairs, lowest.withColumnRenamed("u", "v"), "v", total)
     # Equal edges that come of this go with those of the small star.
     return moved.select("u", F.coalesce("m", "v").alias("v"))
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
     lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(lowest.hint("merge"), "u")
+    moved = _met(pairs, lowest, "u", total)
     return (
         moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lexitally.llm import bit_sliced, bpe, packing, pseudonyms, quality, queries, secrets, sharding, simhash, substrings, url_filter
+from lexitally.llm import bit_sliced, bpe, components, packing, pseudonyms, quality, queries, secrets, sharding, simhash, substrings, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -196,6 +196,31 @@ def test_cuts_fetch_few_ends(monkeypatch, seed, n, share, place):
     assert largest == low and cuts[-1][0] == ends[-1]
 
 
+@pytest.mark.parametrize("heavy", [components.HEAVY, 3])
+def test_components(spark, monkeypatch, heavy):
+    """Paths, hubs, cliques, loops and repeated edges, over several tasks, with hubs split and not split."""
+    monkeypatch.setattr(components, "HEAVY", heavy)
+    monkeypatch.setattr(components, "CHUNK", 50)
+    rng = np.random.default_rng(11)
+    edges = [(i, i + 1) for i in range(-200, 300)] + [(1000, 1000 + i) for i in range(300)] + [(5000 + i, 5000) for i in range(50)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(10_000, 10_400, (300, 2))] + [(7, 7), (1000, 1001)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    frame = spark.createDataFrame(edges, "u bigint, v bigint").repartition(7)
+    found = components.components(frame).collect()
+    assert len(found) == len(linked) and {r.node: r.root for r in found} == {x: find(x) for x in linked}
+    assert components.components(frame.limit(0)).collect() == []
+
+
 def test_layout_of_segments():
     """However many fingerprints: at least two segments, few values asked for, and no link can be missed."""
     for count in (1, 2, 10**3, 2**21, 2**22, 2**32, 2 * 10**10, 2**60):
