@@ -1,10 +1,13 @@
 """Collocations by partitioned phrase mining (SON), exact counts, and cut scores.
 
 A phrase with the wanted support in a whole language has the proportional share
-of it in at least one shard of that language. So each shard - a block of words a
-task holds as numbers - is mined completely at its proportionally lowered
-support, the shards' phrases are united, and one more reading counts all of them
-exactly. Two such rounds are made, one for pairs and one for phrases of three to
+of it in at least one shard of that language. So the tasks are dealt out to a
+fixed number of shards, each shard is mined completely at its proportionally
+lowered support, the shards' phrases are united, and one more reading counts all
+of them exactly. A shard is mined by many tasks: each counts the runs in blocks of
+words it holds as numbers, and the blocks of a shard meet by hashes of runs. So
+neither memory nor the support of a shard depends on the size of the corpus, and
+what is moved grows in proportion to it. Two such rounds are made, one for pairs and one for phrases of three to
 five words, so that the second only looks at phrases all of whose pairs have
 been counted and found frequent.
 
@@ -21,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +34,10 @@ from lexitally.llm.common import ASCII_LOWER, ship, stage
 SUPPORT = 100
 LONGEST = 5
 TOP = 2_000
-# Words of a shard, and bytes of text in a row of words.
-BLOCK = 1_000_000
+# Shards that are mined, by many tasks each.
+SHARDS = 16
+# Words a task holds at once, and bytes of text in a row of words.
+BLOCK = 1_500_000
 BYTES_AT_ONCE = 1 << 20
 # Bits of a bitmap.
 BITS = 1 << 24
@@ -175,7 +181,7 @@ def _per_block(texts: DataFrame, size: int, rows_of: Callable[[Block], Iterator[
     return texts.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items()))
 
 
-MARKS = {"lang": ("string", pa.string()), "hash": ("long", pa.int64()), "above": ("long", pa.int64())}
+MARKS = {"lang": ("string", pa.string()), "shard": ("int", pa.int32()), "hash": ("long", pa.int64()), "n": ("long", pa.int64())}
 COUNTS = {"lang": ("string", pa.string()), "phrase": ("string", pa.string()), "k": ("int", pa.int32()), "f": ("long", pa.int64())}
 
 
@@ -185,11 +191,10 @@ def _word_rows(block: Block) -> Iterator[tuple]:
     yield [block.lang] * len(words), words, [1] * len(words), counts
 
 
-def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], words: Bitmap, pairs: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.ndarray], np.ndarray], words: Bitmap, pairs: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Level by level (k, a place of each distinct run of k words, its count), for the runs `keep` keeps.
 
-    A run is looked at if both runs of k - 1 words in it were kept, so no run is
-    missed whose support in the block is that of `keep`.
+    A run is looked at if both runs of k - 1 words in it were kept.
     """
     ids = block.ids
     good = words.has(block.hashes)
@@ -204,7 +209,7 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
         codes = number[at] * (int(number.max()) + 1) + number[at + 1]
         _, place, back, count = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
         del codes
-        kept = keep(block, k, at[place], count, place)
+        kept = keep(block, k, at[place], count)
         if k == 2 and pairs is not None:
             kept &= pairs.has(block.hash_at(at[place], 2))
         yield k, at[place][kept], count[kept]
@@ -214,41 +219,42 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
         at = at[stays]
 
 
-def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
+def _mined(texts: DataFrame, size: int, levels: tuple[int, int], support: int, words, pairs) -> Bitmap:
     """The phrases that some shard has at its proportional support t, and that can reach the support in all.
 
-    A shard that does not report a phrase has it t - 1 times at most. So a phrase
-    is out if what is reported, plus t - 1 of every other shard, stays below the
-    support. Shards report counts less t - 1, and once what t - 1 is.
+    A shard in which a phrase stays below t has it t - 1 times at most. So a
+    phrase is out if its counts in the shards that have it often enough, plus
+    t - 1 of every other shard, stay below the support.
     """
 
     def rows_of(block: Block) -> Iterator[tuple]:
-        least = max(1, -(-support * block.n // totals.get(block.lang, 1)))
-
-        def keep(block, k, at, count, place):
-            return count >= least
-
-        yield [block.lang], [None], [least - 1]
-        for k, at, count in _runs(block, levels[1], keep, words.value, pairs and pairs.value):
+        shard = TaskContext.get().partitionId() % SHARDS
+        # How many words of the language the shard has, under no hash.
+        yield [block.lang], [shard], [None], [block.n]
+        for k, at, count in _runs(block, levels[1], lambda block, k, at, count: count > 0, words.value, pairs and pairs.value):
             if k >= levels[0]:
-                yield [block.lang] * len(at), block.hash_at(at, k).view(np.int64), count - (least - 1)
+                yield [block.lang] * len(at), np.full(len(at), shard), block.hash_at(at, k).view(np.int64), count
 
-    reported = _per_block(texts, size, rows_of, MARKS).groupBy("lang", "hash").agg(F.sum("above").alias("above"))
-    reported = stage(reported)
-    # One row per language.
-    unseen = {r.lang: r.above for r in reported.where("hash IS NULL").toLocalIterator()}
-    if not unseen:
-        return Bitmap(np.zeros(BITS >> 6, dtype=np.uint64))
-    unseen = texts.sparkSession.createDataFrame(list(unseen.items()), "lang string, unseen long")
-    able = reported.where("hash IS NOT NULL").join(F.broadcast(unseen), "lang").where(F.col("above") + F.col("unseen") >= support)
-    return bitmap_of(able.select("hash"))
+    # Dealt out by hash at once: a block reports a run once, so sums before the shuffle would save little.
+    dealt = _per_block(texts, size, rows_of, MARKS).repartition("hash")
+    counts = dealt.groupBy("lang", "shard", "hash").agg(F.sum("n").alias("n"))
+    counts = stage(counts)
+    # A row per language and shard.
+    shares = counts.where("hash IS NULL").select("lang", "shard", F.col("n").alias("mine"))
+    total = Window.partitionBy("lang")
+    shares = shares.withColumn("every", F.greatest(F.sum("mine").over(total), F.lit(1)))
+    shares = shares.withColumn("least", F.greatest(F.expr(f"({support} * mine + every - 1) div every"), F.lit(1)))
+    shares = stage(shares.select("lang", "shard", "least", F.sum(F.col("least") - 1).over(total).alias("unseen")))
+    often = counts.where("hash IS NOT NULL").join(F.broadcast(shares), ["lang", "shard"]).where("n >= least")
+    able = often.groupBy("lang", "hash").agg((F.sum(F.col("n") - F.col("least") + 1) + F.max("unseen")).alias("most"))
+    return bitmap_of(able.where(F.col("most") >= support).select("hash"))
 
 
 def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
     """Exact counts (lang, phrase, k, f) of the candidates that reach the support."""
 
     def rows_of(block: Block) -> Iterator[tuple]:
-        def keep(block, k, at, count, place):
+        def keep(block, k, at, count):
             return candidates.value.has(block.hash_at(at, k)) if k >= levels[0] else np.ones(len(at), dtype=bool)
 
         for k, at, count in _runs(block, levels[1], keep, words.value, pairs and pairs.value):
@@ -258,7 +264,7 @@ def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int,
                     phrases = [block.phrase_at(i, k) for i in part]
                     yield [block.lang] * len(part), phrases, [k] * len(part), count[begin : begin + ROWS]
 
-    parts = _per_block(texts, size, rows_of, COUNTS)
+    parts = _per_block(texts, size, rows_of, COUNTS).repartition("phrase")
     return stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support))
 
 
@@ -289,20 +295,20 @@ def _marked(counts: DataFrame) -> Bitmap:
     return bitmap_of(counts.select("lang", "phrase").mapInArrow(run, "hash long"))
 
 
-def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, dict[str, int]]:
+def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to 5 words with that support, and the words of each language."""
     context = ship(docs).sparkSession.sparkContext
     texts = tokenised(docs)
-    parts = _per_block(texts, block, _word_rows, COUNTS)
+    parts = _per_block(texts, block, _word_rows, COUNTS).repartition("phrase")
     words = stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
     # One row per language.
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("f").alias("n")).toLocalIterator()}
     words = words.where(F.col("f") >= support)
     known = context.broadcast(_marked(words))
-    candidates = context.broadcast(_mined(texts, block, (2, 2), totals, support, known, None))
+    candidates = context.broadcast(_mined(texts, block, (2, 2), support, known, None))
     pairs = _counted(texts, block, (2, 2), support, candidates, known, None)
     known_pairs = context.broadcast(_marked(pairs))
-    candidates = context.broadcast(_mined(texts, block, (3, LONGEST), totals, support, known, known_pairs))
+    candidates = context.broadcast(_mined(texts, block, (3, LONGEST), support, known, known_pairs))
     longer = _counted(texts, block, (3, LONGEST), support, candidates, known, known_pairs)
     return words.unionByName(pairs).unionByName(longer), totals
 
