@@ -5,7 +5,7 @@ of it in at least one shard of that language. So the tasks are dealt out to a
 fixed number of shards, each shard is mined completely at its proportionally
 lowered support, the shards' phrases are united, and one more reading counts all
 of them exactly. A shard is mined by many tasks: each counts the runs in blocks of
-words it holds as numbers, and the blocks of a shard meet by hashes of runs. So
+words it holds as numbers, and the blocks of a shard meet in buckets of hashes of runs. So
 neither memory nor the support of a shard depends on the size of the corpus, and
 what is moved grows in proportion to it. Two such rounds are made, one for pairs and one for phrases of three to
 five words, so that the second only looks at phrases all of whose pairs have
@@ -38,6 +38,8 @@ TOP = 2_000
 SHARDS = 16
 # Words a task holds at once, and bytes of text in a row of words.
 BLOCK = 1_500_000
+# Runs travel in buckets of hashes, of about so many words of text each.
+BUCKET, LEAST_BUCKETS = 1_000_000, 64
 BYTES_AT_ONCE = 1 << 20
 # Bits of a bitmap.
 BITS = 1 << 24
@@ -181,14 +183,71 @@ def _per_block(texts: DataFrame, size: int, rows_of: Callable[[Block], Iterator[
     return texts.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in fields.items()))
 
 
-MARKS = {"lang": ("string", pa.string()), "shard": ("int", pa.int32()), "hash": ("long", pa.int64()), "n": ("long", pa.int64())}
+MARKS = {
+    "lang": ("string", pa.string()),
+    "shard": ("int", pa.int32()),
+    "bucket": ("long", pa.int64()),
+    "n": ("long", pa.int64()),
+    "hashes": ("binary", pa.binary()),
+    "counts": ("binary", pa.binary()),
+}
 COUNTS = {"lang": ("string", pa.string()), "phrase": ("string", pa.string()), "k": ("int", pa.int32()), "f": ("long", pa.int64())}
 
 
-def _word_rows(block: Block) -> Iterator[tuple]:
-    counts = np.bincount(block.ids, minlength=len(block.words))[1:]
-    words = [w.decode("utf-8", "surrogatepass") for w in block.words[1:]]
-    yield [block.lang] * len(words), words, [1] * len(words), counts
+WORD_MARKS = {
+    "lang": ("string", pa.string()),
+    "bucket": ("long", pa.int64()),
+    "words": ("binary", pa.binary()),
+    "counts": ("binary", pa.binary()),
+}
+
+
+def _split(bucket: np.ndarray) -> list[np.ndarray]:
+    """Places of the members of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def _word_counts(texts: DataFrame, size: int) -> DataFrame:
+    """(lang, phrase, k, f) of every word, staged. Words travel in buckets of their hashes."""
+    # A row of words is about a fifth of what a bucket may get.
+    buckets = max(LEAST_BUCKETS, texts.count() // 5)
+
+    def rows_of(block: Block) -> Iterator[tuple]:
+        counts = np.bincount(block.ids, minlength=len(block.words))
+        parts = _split(((block.hashes[1:] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+        if parts:
+            yield (
+                [block.lang] * len(parts),
+                [int((block.hashes[1 + p[0]] >> np.uint64(32)) % np.uint64(buckets)) for p in parts],
+                [b" ".join([block.words[1 + i] for i in p.tolist()]) for p in parts],
+                [counts[1 + p].astype(np.int32).tobytes() for p in parts],
+            )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                names = [w.decode("utf-8", "surrogatepass") for w in counts]
+                columns = [[lang] * len(names), names, [1] * len(names), list(counts.values())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, (_, t) in zip(columns, COUNTS.values(), strict=True)], names=list(COUNTS)
+                )
+            held.clear()
+
+        for batch in batches:
+            for lang, bucket, words, counts in zip(*batch.columns, strict=True):
+                if bucket.as_py() != at:
+                    yield from close()
+                    at = bucket.as_py()
+                mine = held.setdefault(lang.as_py(), {})
+                for word, n in zip(words.as_py().split(b" "), np.frombuffer(counts.as_py(), dtype=np.int32).tolist(), strict=True):
+                    mine[word] = mine.get(word, 0) + n
+        yield from close()
+
+    dealt = _per_block(texts, size, rows_of, WORD_MARKS).repartition("bucket").sortWithinPartitions("bucket")
+    return stage(dealt.mapInArrow(summed, ", ".join(f"{name} {kind}" for name, (kind, _) in COUNTS.items())))
 
 
 def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.ndarray], np.ndarray], words: Bitmap, pairs: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -219,7 +278,7 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
         at = at[stays]
 
 
-def _mined(texts: DataFrame, size: int, levels: tuple[int, int], support: int, words, pairs) -> Bitmap:
+def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
     """The phrases that some shard has at its proportional support t, and that can reach the support in all.
 
     A shard in which a phrase stays below t has it t - 1 times at most. So a
@@ -227,27 +286,71 @@ def _mined(texts: DataFrame, size: int, levels: tuple[int, int], support: int, w
     t - 1 of every other shard, stay below the support.
     """
 
+    buckets = max(LEAST_BUCKETS, -(-sum(totals.values()) // BUCKET))
+
     def rows_of(block: Block) -> Iterator[tuple]:
         shard = TaskContext.get().partitionId() % SHARDS
-        # How many words of the language the shard has, under no hash.
-        yield [block.lang], [shard], [None], [block.n]
+        # How many words of the language the shard has, under no bucket.
+        yield [block.lang], [shard], [None], [block.n], [None], [None]
         for k, at, count in _runs(block, levels[1], lambda block, k, at, count: count > 0, words.value, pairs and pairs.value):
-            if k >= levels[0]:
-                yield [block.lang] * len(at), np.full(len(at), shard), block.hash_at(at, k).view(np.int64), count
+            if k < levels[0] or not len(at):
+                continue
+            hashes = block.hash_at(at, k)
+            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            parts = _split(bucket)
+            yield (
+                [block.lang] * len(parts),
+                [shard] * len(parts),
+                [int(bucket[p[0]]) for p in parts],
+                [len(p) for p in parts],
+                [hashes[p].tobytes() for p in parts],
+                [count[p].astype(np.int32).tobytes() for p in parts],
+            )
 
-    # Dealt out by hash at once: a block reports a run once, so sums before the shuffle would save little.
-    dealt = _per_block(texts, size, rows_of, MARKS).repartition("hash")
-    counts = dealt.groupBy("lang", "shard", "hash").agg(F.sum("n").alias("n"))
-    counts = stage(counts)
+    reported = stage(_per_block(texts, size, rows_of, MARKS))
     # A row per language and shard.
-    shares = counts.where("hash IS NULL").select("lang", "shard", F.col("n").alias("mine"))
-    total = Window.partitionBy("lang")
-    shares = shares.withColumn("every", F.greatest(F.sum("mine").over(total), F.lit(1)))
-    shares = shares.withColumn("least", F.greatest(F.expr(f"({support} * mine + every - 1) div every"), F.lit(1)))
-    shares = stage(shares.select("lang", "shard", "least", F.sum(F.col("least") - 1).over(total).alias("unseen")))
-    often = counts.where("hash IS NOT NULL").join(F.broadcast(shares), ["lang", "shard"]).where("n >= least")
-    able = often.groupBy("lang", "hash").agg((F.sum(F.col("n") - F.col("least") + 1) + F.max("unseen")).alias("most"))
-    return bitmap_of(able.where(F.col("most") >= support).select("hash"))
+    mine = {(r.lang, r.shard): r.n for r in reported.where("bucket IS NULL").groupBy("lang", "shard").agg(F.sum("n").alias("n")).toLocalIterator()}
+    least = {(lang, shard): max(1, -(-support * n // max(1, totals.get(lang, 1)))) for (lang, shard), n in mine.items()}
+    unseen: dict[str, int] = {}
+    for (lang, _), t in least.items():
+        unseen[lang] = unseen.get(lang, 0) + t - 1
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phrases that can reach the support, bucket by bucket."""
+        at, held = None, {}
+
+        def close() -> pa.RecordBatch:
+            often: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for (lang, shard), parts in held.items():
+                hashes, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                t = least[lang, shard]
+                often.setdefault(lang, []).append((hashes[n >= t], n[n >= t] - (t - 1)))
+            held.clear()
+            able = [np.zeros(0, dtype=np.int64)]
+            for lang, parts in often.items():
+                hashes, above = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                able.append(hashes[above + unseen[lang] >= support])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(able))], names=["hash"])
+
+        for batch in batches:
+            for lang, shard, bucket, hashes, counts in zip(*batch.columns, strict=True):
+                if bucket.as_py() != at:
+                    yield close()
+                    at = bucket.as_py()
+                part = np.frombuffer(hashes.as_py(), dtype=np.int64), np.frombuffer(counts.as_py(), dtype=np.int32)
+                held.setdefault((lang.as_py(), shard.as_py()), []).append(part)
+        yield close()
+
+    dealt = reported.where("bucket IS NOT NULL").select("lang", "shard", "bucket", "hashes", "counts")
+    return bitmap_of(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(united, "hash long"))
+
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their counts."""
+    distinct, back = np.unique(hashes, return_inverse=True)
+    sums = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(sums, back, counts)
+    return distinct, sums
 
 
 def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
@@ -295,20 +398,19 @@ def _marked(counts: DataFrame) -> Bitmap:
     return bitmap_of(counts.select("lang", "phrase").mapInArrow(run, "hash long"))
 
 
-def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -> tuple[DataFrame, dict[str, int]]:
     """(lang, phrase, k, f) of all phrases of 1 to 5 words with that support, and the words of each language."""
     context = ship(docs).sparkSession.sparkContext
     texts = tokenised(docs)
-    parts = _per_block(texts, block, _word_rows, COUNTS).repartition("phrase")
-    words = stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")))
+    words = _word_counts(texts, block)
     # One row per language.
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("f").alias("n")).toLocalIterator()}
     words = words.where(F.col("f") >= support)
     known = context.broadcast(_marked(words))
-    candidates = context.broadcast(_mined(texts, block, (2, 2), support, known, None))
+    candidates = context.broadcast(_mined(texts, block, (2, 2), totals, support, known, None))
     pairs = _counted(texts, block, (2, 2), support, candidates, known, None)
     known_pairs = context.broadcast(_marked(pairs))
-    candidates = context.broadcast(_mined(texts, block, (3, LONGEST), support, known, known_pairs))
+    candidates = context.broadcast(_mined(texts, block, (3, LONGEST), totals, support, known, known_pairs))
     longer = _counted(texts, block, (3, LONGEST), support, candidates, known, known_pairs)
     return words.unionByName(pairs).unionByName(longer), totals
 
