@@ -279,13 +279,12 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
 
 
 def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
-    """The phrases that some shard has at its proportional support t, and that can reach the support in all.
+    """The phrases that some shard has at its proportional support, as far as they can reach the support in all.
 
-    A shard in which a phrase stays below t has it t - 1 times at most. So a
-    phrase is out if its counts in the shards that have it often enough, plus
-    t - 1 of every other shard, stay below the support.
+    All shards' counts of a hash meet in one bucket. A phrase whose hash stays
+    below the support there is out; several phrases of one hash can only have
+    more, so none is missed.
     """
-
     buckets = max(LEAST_BUCKETS, -(-sum(totals.values()) // BUCKET))
 
     def rows_of(block: Block) -> Iterator[tuple]:
@@ -311,25 +310,22 @@ def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[st
     # A row per language and shard.
     mine = {(r.lang, r.shard): r.n for r in reported.where("bucket IS NULL").groupBy("lang", "shard").agg(F.sum("n").alias("n")).toLocalIterator()}
     least = {(lang, shard): max(1, -(-support * n // max(1, totals.get(lang, 1)))) for (lang, shard), n in mine.items()}
-    unseen: dict[str, int] = {}
-    for (lang, _), t in least.items():
-        unseen[lang] = unseen.get(lang, 0) + t - 1
-
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The phrases that can reach the support, bucket by bucket."""
         at, held = None, {}
 
         def close() -> pa.RecordBatch:
-            often: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            often: dict[str, list[np.ndarray]] = {}
+            counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for (lang, shard), parts in held.items():
                 hashes, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                t = least[lang, shard]
-                often.setdefault(lang, []).append((hashes[n >= t], n[n >= t] - (t - 1)))
+                often.setdefault(lang, []).append(hashes[n >= least[lang, shard]])
+                counted.setdefault(lang, []).append((hashes, n))
             held.clear()
             able = [np.zeros(0, dtype=np.int64)]
-            for lang, parts in often.items():
-                hashes, above = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                able.append(hashes[above + unseen[lang] >= support])
+            for lang, parts in counted.items():
+                hashes, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                able.append(np.intersect1d(np.concatenate(often[lang]), hashes[n >= support]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(able))], names=["hash"])
 
         for batch in batches:
