@@ -1,14 +1,18 @@
 """Text operators as column expressions.
 
 Each function maps a column to a column, so a whole cleaning and counting
-pipeline stays inside one narrow stage: no shuffle, no Python worker.
+pipeline stays inside one narrow stage without a shuffle. Only stemming and the
+counting of runs of tokens visit Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +112,79 @@ def count_terms(terms: Column) -> Column:
         return let(starts, lengths)
 
     return let(F.sort_array(terms), runs)
+
+
+# Bytes of joined tokens that are counted at once, unless one text has more.
+COUNTED_AT_ONCE = 4 << 20
+
+
+def count_ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
+    """Array of (term, tf) of one text: `count_terms` of its `ngrams`, in no set order.
+
+    Tokens are those of `tokenize`: never empty or null, without spaces.
+    """
+    return count_joined(F.array_join(tokens, " "), low, high)
+
+
+def count_joined(joined: Column, low: int = 1, high: int = 1) -> Column:
+    """`count_ngrams` of tokens that are joined by one space; null and "" have none.
+
+    Runs are counted as numbers, in Arrow, for many texts at once.
+    """
+    most = COUNTED_AT_ONCE
+
+    def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key among the distinct ones, and those."""
+        found = pa.array(keys).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+    def counted(joined: pa.Array) -> pa.Array:
+        words = pc.split_pattern(joined, " ")
+        sizes = np.where(pc.binary_length(joined).to_numpy() > 0, pc.list_value_length(words).to_numpy(), 0)
+        text_of = np.repeat(np.arange(len(joined)), sizes)
+        flat = words.flatten()
+        if len(flat) > len(text_of):
+            flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+        coded = flat.dictionary_encode()
+        word, n_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        # The run that starts at each place, as a number, and the distinct runs by number.
+        run, runs = word, coded.dictionary
+        texts, terms, counts = [], [], []
+        for n in range(1, high + 1):
+            if n > 1:
+                left, right = run[: len(run) - 1], word[n - 1 :]
+                inside = text_of[: len(left)] == text_of[n - 1 :]
+                keys = np.where(inside & (left >= 0), left * n_words + right, -1)
+                run, found = np.full(len(keys), -1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+                run[keys >= 0], found = numbered(keys[keys >= 0])
+                if n_words:
+                    runs = pc.binary_join_element_wise(runs.take(pa.array(found // n_words)), coded.dictionary.take(pa.array(found % n_words)), " ")
+            if n >= low:
+                whole = run >= 0
+                # Distinct values keep the order of their first place, so texts stay together.
+                seen = pc.value_counts(pa.array(text_of[: len(run)][whole] * max(1, len(runs)) + run[whole]))
+                keys = seen.field("values").to_numpy()
+                texts.append(keys // max(1, len(runs)))
+                terms.append(runs.take(pa.array(keys % max(1, len(runs)))))
+                counts.append(seen.field("counts").to_numpy())
+        text, term, tf = np.concatenate(texts), pa.concat_arrays(terms), np.concatenate(counts)
+        if len(texts) > 1:
+            order = np.argsort(text, kind="stable")
+            term, tf = term.take(pa.array(order)), tf[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(joined)))])
+        pairs = pa.StructArray.from_arrays([term, pa.array(tf, pa.int64())], names=["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for joined in batches:
+            joined = pc.fill_null(joined, "")
+            sizes = np.cumsum(pc.binary_length(joined).to_numpy())
+            at = 0
+            while at < len(joined):
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+                yield counted(joined.slice(at, end - at))
+                at = end
+
+    # Given as objects: the annotations above are text, and this module need not be installed on the workers.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returnType="array<struct<term:string,tf:bigint>>")(joined)

@@ -106,3 +106,16 @@ def test_batch_stemmer_is_the_native_one(spark, mode):
     assert len(both) == len(lists)
     for r in both:
         assert r.a == r.b and (r.a is None) == (r.words is None)
+
+
+def test_runs_counted_in_batches_are_the_counts_of_ngrams(spark, monkeypatch):
+    texts = [None, "", " . ", "ab", "ab ab ab cd ab cd", "İstanbul über_x 12 12", "cd ab cd ab ef " * 50, "ef"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    tokens = tx.tokenize(F.col("text"))
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(tx, "COUNTED_AT_ONCE", most)
+        for low, high in ((1, 1), (1, 2), (1, 4), (3, 3)):
+            both = rows.select(
+                F.sort_array(tx.count_terms(tx.ngrams(tokens, low, high))), F.sort_array(tx.count_ngrams(tokens, low, high))
+            ).collect()
+            assert len(both) == len(texts) and all(a == b for a, b in both)
