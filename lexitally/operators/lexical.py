@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexitally.functions.text import count_terms, empty_if_null, ngrams, tokenize
+from lexitally.functions.text import count_ngrams, empty_if_null, tokenize
 from lexitally.functions.words import STYLE_LEXICON
 from lexitally.operators.bayes import NaiveBayesModel
 from lexitally.operators.terms import is_small, long_rows, lookup, term_stats, with_totals
@@ -114,7 +114,7 @@ def lexicon_rates(corpus: DataFrame, lexicon: DataFrame, by: Sequence[str] = ("l
     """(`by`, category, hits, tokens, per_1000) for a lexicon table of words and phrases, of any size.
 
     A phrase counts wherever its words stand side by side among a text's tokens,
-    also inside another phrase. Texts are counted once, in runs as long as the
+    also inside another phrase. Texts are counted in runs as long as the
     longest phrase; the runs meet the lexicon by a broadcast if it was counted
     and found small, else by a join that no frequent run makes uneven. Every
     category has a row for every `by` value of the corpus.
@@ -124,14 +124,14 @@ def lexicon_rates(corpus: DataFrame, lexicon: DataFrame, by: Sequence[str] = ("l
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     grouped = [F.col(c).alias(n) for c, n in names.items()]
     texts = corpus.select(*grouped, tokenize(F.col("text")).alias("t"))
-    counted = stage(
-        texts.select(*names.values(), F.size("t").cast("long").alias("tokens"), count_terms(ngrams(F.col("t"), 1, longest)).alias("terms"))
-    )
-    rows = long_rows(counted.drop("tokens"))
-    met = lookup(rows, known.select("term", "categories"), is_small(known))
+    small = is_small(known)
+    # Runs are many times their text: they are written out only where they are read more than once.
+    counted = texts.select(*names.values(), count_ngrams(F.col("t"), 1, longest).alias("terms"))
+    rows = long_rows(counted if small else stage(counted))
+    met = lookup(rows, known.select("term", "categories"), small)
     hits = met.select(*names.values(), F.explode("categories").alias("category"), "tf")
     sums = hits.groupBy(*names.values(), "category").agg(F.sum("tf").alias("hits"))
-    totals = counted.groupBy(*names.values()).agg(F.sum("tokens").alias("tokens"))
+    totals = texts.groupBy(*names.values()).agg(F.sum(F.size("t").cast("long")).alias("tokens"))
     # As many rows as there are categories, for each `by` value.
     every = known.select(F.explode("categories").alias("category")).distinct()
     listed = every.agg(F.array_sort(F.collect_set("category"))).scalar()

@@ -38,3 +38,13 @@ def test_phrases_without_rows(spark):
     lexicon = spark.createDataFrame(ENTRIES, "category string, phrase string")
     assert lexical.lexicon_rates(corpus, lexicon.limit(0)).collect() == []
     assert lexical.lexicon_rates(corpus.limit(0), lexicon).collect() == []
+
+
+def test_runs_that_meet_a_small_lexicon_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lexical, "stage", lambda df: written.append(df.columns) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    corpus = spark.createDataFrame([("good day good day", 1), (None, 0)], "text string, label int")
+    lexicon = spark.createDataFrame([("x", "good day"), ("y", "day")], "category string, phrase string")
+    rows = {(r.label, r.category): (r.hits, r.tokens) for r in lexical.lexicon_rates(corpus, lexicon).collect()}
+    assert rows == {(1, "x"): (2, 4), (1, "y"): (2, 4), (0, "x"): (0, 0), (0, "y"): (0, 0)}
+    assert written == [["term", "categories", "words"]]
