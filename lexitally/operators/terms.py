@@ -137,18 +137,22 @@ def known_counts(counted: DataFrame, terms: DataFrame) -> DataFrame:
 def dense(counted: DataFrame, chosen: DataFrame, order: Sequence[str]) -> DataFrame:
     """Adds `dense`: the counts of a short list of terms, in its order, zeros included.
 
-    The list, which sets the width of every row, comes in as a scalar subquery;
-    no text is moved.
+    The list, which sets the width of every row, is read once and becomes a set
+    that each term of a text is looked up in; only the few found are searched for
+    each place. No text is moved.
     """
     width = Window.orderBy(*[F.expr(o.split()[0]).desc() if o.endswith(" desc") else F.col(o) for o in order])
     numbered = chosen.select("term", F.row_number().over(width).alias("at"))
-    listed = numbered.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"])).scalar()
+    listed = [r.term for r in numbered.orderBy("at").collect()]
+    found = F.filter("terms", lambda t: t["term"].isin(listed)) if listed else F.slice("terms", 1, 0)
     # Bound once per row: the terms would be counted again for each place otherwise.
     values = let(
-        F.map_from_entries("terms"),
-        lambda tf: F.transform(F.col("_terms"), lambda t: F.coalesce(F.try_element_at(tf, t), F.lit(0)).cast("double")),
+        F.map_from_entries(found),
+        lambda tf: F.transform(
+            F.array(*map(F.lit, listed)).cast("array<string>"), lambda t: F.coalesce(F.try_element_at(tf, t), F.lit(0)).cast("double")
+        ),
     )
-    return counted.withColumn("_terms", listed).withColumn("dense", values).drop("_terms", "terms")
+    return counted.withColumn("dense", values).drop("terms")
 
 
 def smooth_idf(n_docs: Column, df: Column) -> Column:
