@@ -90,3 +90,10 @@ def test_pipeline_stream(spark, tmp_path):
     job.awaitTermination()
     got = {r.doc_id: r.prediction for r in spark.read.parquet(str(tmp_path / "s")).collect()}
     assert got == {r.doc_id: int(r.prediction) for r in model.transform(batch).collect()}
+
+
+def test_staged_tables_are_packed(spark):
+    from lexitally.sources.stage import stage
+
+    staged = stage(spark.range(10))
+    assert staged.count() == 10 and all(f.endswith(".zstd.parquet") for f in staged.inputFiles())
