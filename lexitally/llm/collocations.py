@@ -11,6 +11,9 @@ what is moved grows in proportion to it. Two such rounds are made, one for pairs
 five words, so that the second only looks at phrases all of whose pairs have
 been counted and found frequent.
 
+What moves is packed, a row for each block and bucket: runs to be mined as the
+gaps between their places in a bitmap, runs to be counted as sorted text.
+
 A united set of phrases goes to the tasks as a bitmap of fixed size over hashes
 of phrases. It has every member; a phrase that is marked by chance is counted
 like the others and falls at the support. So the broadcast does not grow with
@@ -38,11 +41,11 @@ TOP = 2_000
 SHARDS = 16
 # Words a task holds at once, and bytes of text in a row of words.
 BLOCK = 1_500_000
-# Runs travel in buckets of hashes, of about so many words of text each.
-BUCKET, LEAST_BUCKETS = 1_000_000, 64
+# Runs travel in buckets of hashes, of about so many words of text each; words in buckets of so many staged rows.
+BUCKET, BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 40, 64
 BYTES_AT_ONCE = 1 << 20
-# Bits of a bitmap.
-BITS = 1 << 24
+# Bits of a bitmap, a power of two.
+BITS = 1 << 26
 ROWS = 20_000
 UNKNOWN = "und"
 
@@ -80,8 +83,8 @@ class Block:
             state ^= state >> np.uint64(29)
         return state
 
-    def phrase_at(self, at: int, k: int) -> str:
-        return b" ".join(self.words[i] for i in self.ids[at : at + k].tolist()).decode("utf-8", "surrogatepass")
+    def phrase_at(self, at: int, k: int) -> bytes:
+        return b" ".join([self.words[i] for i in self.ids[at : at + k].tolist()])
 
 
 class Bitmap:
@@ -100,9 +103,9 @@ def bitmap_of(hashes: DataFrame) -> Bitmap:
     bit = F.col("hash").bitwiseAND(BITS - 1)
     one = F.expr(f"shiftleft(1L, cast(hash & {63} as int))")
     rows = hashes.select(F.shiftright(bit, 6).alias("slot"), one.alias("bits"))
-    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BITS >> 6, dtype=np.uint64)
-    words[found["slot"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    words[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Bitmap(words)
 
 
@@ -187,67 +190,96 @@ MARKS = {
     "lang": ("string", pa.string()),
     "shard": ("int", pa.int32()),
     "bucket": ("long", pa.int64()),
-    "n": ("long", pa.int64()),
-    "hashes": ("binary", pa.binary()),
-    "counts": ("binary", pa.binary()),
+    "block_words": ("long", pa.int64()),
+    "n": ("int", pa.int32()),
+    "runs": ("binary", pa.binary()),
 }
-COUNTS = {"lang": ("string", pa.string()), "phrase": ("string", pa.string()), "k": ("int", pa.int32()), "f": ("long", pa.int64())}
-
-
-WORD_MARKS = {
+NAMED = {
     "lang": ("string", pa.string()),
     "bucket": ("long", pa.int64()),
-    "words": ("binary", pa.binary()),
+    "n": ("int", pa.int32()),
     "counts": ("binary", pa.binary()),
+    "size": ("int", pa.int32()),
+    "names": ("binary", pa.binary()),
 }
+COUNTS = {"lang": ("string", pa.string()), "phrase": ("string", pa.string()), "k": ("int", pa.int32()), "f": ("long", pa.int64())}
+
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-def _split(bucket: np.ndarray) -> list[np.ndarray]:
-    """Places of the members of each bucket."""
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, their lowest bytes first, then the next ones: those are mostly zero."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def _named(block: Block, hashes: np.ndarray, counts: np.ndarray, spell: Callable[[int], bytes], buckets: int) -> list[list]:
+    """A row per bucket with the words or runs of a block that fall into it, in order of their text."""
+    bucket = _bucket(hashes, buckets)
     order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    columns: list[list] = [[] for _ in NAMED]
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        found = sorted(zip(map(spell, part.tolist()), counts[part].tolist(), strict=True))
+        # No word holds a line feed.
+        text = b"\n".join([name for name, _ in found])
+        packed = pa.compress(text, codec="zstd", asbytes=True)
+        row = block.lang, int(bucket[part[0]]), len(found), _pack(np.array([n for _, n in found])), len(text), packed
+        for column, value in zip(columns, row, strict=True):
+            column.append(value)
+    return columns
 
 
-def _word_counts(texts: DataFrame, size: int) -> DataFrame:
-    """(lang, phrase, k, f) of every word, staged. Words travel in buckets of their hashes."""
-    # A row of words is about a fifth of what a bucket may get.
-    buckets = max(LEAST_BUCKETS, texts.count() // 5)
-
-    def rows_of(block: Block) -> Iterator[tuple]:
-        counts = np.bincount(block.ids, minlength=len(block.words))
-        parts = _split(((block.hashes[1:] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
-        if parts:
-            yield (
-                [block.lang] * len(parts),
-                [int((block.hashes[1 + p[0]] >> np.uint64(32)) % np.uint64(buckets)) for p in parts],
-                [b" ".join([block.words[1 + i] for i in p.tolist()]) for p in parts],
-                [counts[1 + p].astype(np.int32).tobytes() for p in parts],
-            )
+def _totals(named: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, k, f), staged: the sums over all blocks that are `least` or more."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
 
         def close() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
-                names = [w.decode("utf-8", "surrogatepass") for w in counts]
-                columns = [[lang] * len(names), names, [1] * len(names), list(counts.values())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, (_, t) in zip(columns, COUNTS.values(), strict=True)], names=list(COUNTS)
-                )
+                found = [(name, n) for name, n in counts.items() if n >= least]
+                for begin in range(0, len(found), ROWS):
+                    part = found[begin : begin + ROWS]
+                    columns = (
+                        [lang] * len(part),
+                        [name.decode("utf-8", "surrogatepass") for name, _ in part],
+                        [name.count(b" ") + 1 for name, _ in part],
+                        [n for _, n in part],
+                    )
+                    arrays = [pa.array(c, t) for c, (_, t) in zip(columns, COUNTS.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=list(COUNTS))
             held.clear()
 
         for batch in batches:
-            for lang, bucket, words, counts in zip(*batch.columns, strict=True):
+            for lang, bucket, n, counts, size, names in zip(*batch.columns, strict=True):
                 if bucket.as_py() != at:
                     yield from close()
                     at = bucket.as_py()
                 mine = held.setdefault(lang.as_py(), {})
-                for word, n in zip(words.as_py().split(b" "), np.frombuffer(counts.as_py(), dtype=np.int32).tolist(), strict=True):
-                    mine[word] = mine.get(word, 0) + n
+                text = pa.decompress(names.as_py(), decompressed_size=size.as_py(), codec="zstd", asbytes=True)
+                for name, count in zip(text.split(b"\n"), _unpack(counts.as_py(), n.as_py()).tolist(), strict=True):
+                    mine[name] = mine.get(name, 0) + count
         yield from close()
 
-    dealt = _per_block(texts, size, rows_of, WORD_MARKS).repartition("bucket").sortWithinPartitions("bucket")
-    return stage(dealt.mapInArrow(summed, ", ".join(f"{name} {kind}" for name, (kind, _) in COUNTS.items())))
+    dealt = named.repartition("bucket").sortWithinPartitions("bucket")
+    return stage(dealt.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in COUNTS.items())))
+
+
+def _word_counts(texts: DataFrame, size: int) -> DataFrame:
+    """(lang, phrase, k, f) of every word, staged. Words travel in buckets of their hashes."""
+    buckets = max(LEAST_BUCKETS, texts.count() // BUCKET_ROWS)
+
+    def rows_of(block: Block) -> Iterator[list]:
+        counts = np.bincount(block.ids, minlength=len(block.words))[1:]
+        yield _named(block, block.hashes[1:], counts, lambda i: block.words[1 + i], buckets)
+
+    return _totals(_per_block(texts, size, rows_of, NAMED), 1)
 
 
 def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.ndarray], np.ndarray], words: Bitmap, pairs: Bitmap | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -278,93 +310,100 @@ def _runs(block: Block, most: int, keep: Callable[[Block, int, np.ndarray, np.nd
         at = at[stays]
 
 
+def _buckets(totals: dict[str, int]) -> int:
+    return max(LEAST_BUCKETS, -(-sum(totals.values()) // BUCKET))
+
+
 def _mined(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, words, pairs) -> Bitmap:
     """The phrases that some shard has at its proportional support, as far as they can reach the support in all.
 
-    All shards' counts of a hash meet in one bucket. A phrase whose hash stays
-    below the support there is out; several phrases of one hash can only have
-    more, so none is missed.
+    All shards' counts of a hash meet in one bucket, under its place in the
+    bitmap. A phrase whose place stays below the support there is out; several
+    phrases of one place can only have more, so none is missed.
     """
-    buckets = max(LEAST_BUCKETS, -(-sum(totals.values()) // BUCKET))
+    buckets = _buckets(totals)
 
-    def rows_of(block: Block) -> Iterator[tuple]:
+    def rows_of(block: Block) -> Iterator[list]:
         shard = TaskContext.get().partitionId() % SHARDS
-        # How many words of the language the shard has, under no bucket.
-        yield [block.lang], [shard], [None], [block.n], [None], [None]
+        bucket, place, counts = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
         for k, at, count in _runs(block, levels[1], lambda block, k, at, count: count > 0, words.value, pairs and pairs.value):
-            if k < levels[0] or not len(at):
-                continue
-            hashes = block.hash_at(at, k)
-            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            parts = _split(bucket)
-            yield (
-                [block.lang] * len(parts),
-                [shard] * len(parts),
-                [int(bucket[p[0]]) for p in parts],
-                [len(p) for p in parts],
-                [hashes[p].tobytes() for p in parts],
-                [count[p].astype(np.int32).tobytes() for p in parts],
-            )
+            if k >= levels[0]:
+                hashes = block.hash_at(at, k)
+                bucket.append(_bucket(hashes, buckets))
+                place.append((hashes & np.uint64(BITS - 1)).astype(np.int64))
+                counts.append(count)
+        bucket, place, counts = (np.concatenate(x) for x in (bucket, place, counts))
+        order = np.lexsort((place, bucket))
+        place, counts = place[order], counts[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        # Every bucket gets a row, so each knows how many words of the language a shard has.
+        parts = [(place[a:b], counts[a:b]) for a, b in zip(ends, ends[1:])]
+        yield [
+            [block.lang] * buckets,
+            [shard] * buckets,
+            list(range(buckets)),
+            [block.n] * buckets,
+            [len(at) for at, _ in parts],
+            [_pack(np.concatenate([np.diff(at, prepend=0), n])) for at, n in parts],
+        ]
 
-    reported = stage(_per_block(texts, size, rows_of, MARKS))
-    # A row per language and shard.
-    mine = {(r.lang, r.shard): r.n for r in reported.where("bucket IS NULL").groupBy("lang", "shard").agg(F.sum("n").alias("n")).toLocalIterator()}
-    least = {(lang, shard): max(1, -(-support * n // max(1, totals.get(lang, 1)))) for (lang, shard), n in mine.items()}
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The phrases that can reach the support, bucket by bucket."""
-        at, held = None, {}
+        at, held, words_in = None, {}, {}
 
         def close() -> pa.RecordBatch:
             often: dict[str, list[np.ndarray]] = {}
             counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for (lang, shard), parts in held.items():
-                hashes, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                often.setdefault(lang, []).append(hashes[n >= least[lang, shard]])
-                counted.setdefault(lang, []).append((hashes, n))
+                places, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                least = max(1, -(-support * words_in[lang, shard] // max(1, totals.get(lang, 1))))
+                often.setdefault(lang, []).append(places[n >= least])
+                counted.setdefault(lang, []).append((places, n))
             held.clear()
+            words_in.clear()
             able = [np.zeros(0, dtype=np.int64)]
             for lang, parts in counted.items():
-                hashes, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                able.append(np.intersect1d(np.concatenate(often[lang]), hashes[n >= support]))
+                places, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                able.append(np.intersect1d(np.concatenate(often[lang]), places[n >= support]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(able))], names=["hash"])
 
         for batch in batches:
-            for lang, shard, bucket, hashes, counts in zip(*batch.columns, strict=True):
+            for lang, shard, bucket, block_words, n, runs in zip(*batch.columns, strict=True):
                 if bucket.as_py() != at:
                     yield close()
                     at = bucket.as_py()
-                part = np.frombuffer(hashes.as_py(), dtype=np.int64), np.frombuffer(counts.as_py(), dtype=np.int32)
-                held.setdefault((lang.as_py(), shard.as_py()), []).append(part)
+                key, n = (lang.as_py(), shard.as_py()), n.as_py()
+                words_in[key] = words_in.get(key, 0) + block_words.as_py()
+                if n:
+                    numbers = _unpack(runs.as_py(), 2 * n)
+                    held.setdefault(key, []).append((np.cumsum(numbers[:n]), numbers[n:]))
         yield close()
 
-    dealt = reported.where("bucket IS NOT NULL").select("lang", "shard", "bucket", "hashes", "counts")
-    return bitmap_of(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(united, "hash long"))
+    dealt = _per_block(texts, size, rows_of, MARKS).repartition("bucket").sortWithinPartitions("bucket")
+    return bitmap_of(dealt.mapInArrow(united, "hash long"))
 
 
-def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and the sums of their counts."""
-    distinct, back = np.unique(hashes, return_inverse=True)
-    sums = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(sums, back, counts)
-    return distinct, sums
+def _summed(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of their counts."""
+    order = np.argsort(places)
+    places = places[order]
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    return places[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def _counted(texts: DataFrame, size: int, levels: tuple[int, int], support: int, candidates, words, pairs) -> DataFrame:
-    """Exact counts (lang, phrase, k, f) of the candidates that reach the support."""
+def _counted(texts: DataFrame, size: int, levels: tuple[int, int], totals: dict[str, int], support: int, candidates, words, pairs) -> DataFrame:
+    """Exact counts (lang, phrase, k, f) of the candidates that reach the support. They travel as text, in buckets of their hashes."""
+    buckets = _buckets(totals)
 
-    def rows_of(block: Block) -> Iterator[tuple]:
+    def rows_of(block: Block) -> Iterator[list]:
         def keep(block, k, at, count):
             return candidates.value.has(block.hash_at(at, k)) if k >= levels[0] else np.ones(len(at), dtype=bool)
 
         for k, at, count in _runs(block, levels[1], keep, words.value, pairs and pairs.value):
             if k >= levels[0]:
-                for begin in range(0, len(at), ROWS):
-                    part = at[begin : begin + ROWS].tolist()
-                    phrases = [block.phrase_at(i, k) for i in part]
-                    yield [block.lang] * len(part), phrases, [k] * len(part), count[begin : begin + ROWS]
+                yield _named(block, block.hash_at(at, k), count, lambda i, k=k, at=at.tolist(): block.phrase_at(at[i], k), buckets)
 
-    parts = _per_block(texts, size, rows_of, COUNTS).repartition("phrase")
-    return stage(parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support))
+    return _totals(_per_block(texts, size, rows_of, NAMED), support)
 
 
 def _marked(counts: DataFrame) -> Bitmap:
@@ -404,10 +443,10 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, block: int = BLOCK) -
     words = words.where(F.col("f") >= support)
     known = context.broadcast(_marked(words))
     candidates = context.broadcast(_mined(texts, block, (2, 2), totals, support, known, None))
-    pairs = _counted(texts, block, (2, 2), support, candidates, known, None)
+    pairs = _counted(texts, block, (2, 2), totals, support, candidates, known, None)
     known_pairs = context.broadcast(_marked(pairs))
     candidates = context.broadcast(_mined(texts, block, (3, LONGEST), totals, support, known, known_pairs))
-    longer = _counted(texts, block, (3, LONGEST), support, candidates, known, known_pairs)
+    longer = _counted(texts, block, (3, LONGEST), totals, support, candidates, known, known_pairs)
     return words.unionByName(pairs).unionByName(longer), totals
 
 

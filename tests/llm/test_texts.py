@@ -170,6 +170,30 @@ def test_collocations_of_few_rows(spark, monkeypatch):
     assert collocations.collocations(docs.limit(0)).collect() == []
 
 
+def test_collocations_move_packed_rows(spark, monkeypatch):
+    """However many phrases a task counts, it hands on a row per block and bucket."""
+    made, per_block = [], collocations._per_block
+
+    def watched(*args):
+        made.append(per_block(*args))
+        return made[-1]
+
+    monkeypatch.setattr(collocations, "_per_block", watched)
+    monkeypatch.setattr(collocations, "LEAST_BUCKETS", 4)
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"w{rng.randrange(20)}" for _ in range(2000)))] * 3
+    found = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(1), support=3)
+    assert sorted(map(tuple, found.collect())) == plain_collocations(rows, 3)
+    # A block; of phrases of three to five words, a row of each length.
+    assert len(made) == 5 and all(df.count() <= 3 * 4 for df in made)
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [1, 255, 256, 2**31, 2**32 - 1], range(10_000)])
+def test_packed_numbers(numbers):
+    numbers = np.array(numbers, dtype=np.int64)
+    assert (collocations._unpack(collocations._pack(numbers), len(numbers)) == numbers).all()
+
+
 def test_cut_score_is_exact(spark):
     rng = random.Random(3)
     rows = [(2, 3, 7, 11), (10**12, 10**13, 10**12, 10**12)]
