@@ -10,6 +10,7 @@ Each task packs its own rows as they stream by; no row moves.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,9 +25,15 @@ from tokenizers import Tokenizer
 from lexitally.llm.common import ship
 
 BUFFER = 512
-WORDS_KEPT = 200_000
+# Words kept lately, and as many older ones.
+WORDS_KEPT = 300_000
 # Below this code point, a letter stays one letter when normalised and lowered.
 PLAIN_LETTERS = "İ"
+# A full stop or comma after a small Latin-1 letter, before a space or the end.
+STOP = re.compile(r"[.,](?<=[a-zß-öø-ÿ].)(?![^ ])")
+# Without an apostrophe, these words are their runs of letters and of signs, and each digit.
+OF_RUNS = re.compile(r"[!-&(-~ß-öø-ÿ]+")
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 # The normaliser and the cutting of texts for which words stand alone.
@@ -55,37 +62,68 @@ WORDWISE = {
 
 
 class Words(dict):
-    """Packed ids of the words met so far, from the tokenizer; cleared when full.
+    """Packed ids of the words met lately, from the tokenizer.
+
+    When full, the words become the older ones, which are kept until it is full
+    again; a word met meanwhile is taken over.
 
     A tokenizer of the known kind (see WORDWISE) never looks across white space,
-    nor across the border between plain letters and a full stop or comma, so a
-    text is its words one by one. Any other tokenizer gets whole texts.
+    nor across the border between plain letters and a full stop or comma or other
+    signs, so a text is its words one by one. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.lookup = byte_letters()
+        self.older: dict[str, bytes] = {}
         given = json.loads(tokenizer.to_str())
         self.wordwise = all(given[part] == known for part, known in WORDWISE.items()) and all(
             not t["normalized"] and not any(c.isspace() for c in t["content"]) for t in given["added_tokens"]
         )
+        self.added = [t["content"].lower() for t in given["added_tokens"]]
 
     def __missing__(self, word: str) -> bytes:
-        if max(word) < PLAIN_LETTERS and word.isalpha():
-            # One word to the model too, which sees lower case, each byte as a letter.
-            seen = word.lower()
-            seen = seen if seen.isascii() else seen.encode().decode("latin-1").translate(self.lookup)
-            ids = pack([token.id for token in self.model.tokenize(seen)])
-        elif word[-1] in ".," and word[:-1].isalpha() and max(word) < PLAIN_LETTERS:
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._ids(word)
         if len(word) <= 64:
             if len(self) >= WORDS_KEPT:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def _ids(self, word: str) -> bytes:
+        plain = word.isascii() or max(word) < PLAIN_LETTERS
+        if plain and word.isalpha():
+            # One word to the model too, which sees lower case, each byte as a letter.
+            seen = word.lower()
+            seen = seen if seen.isascii() else seen.encode().decode("latin-1").translate(self.lookup)
+            return pack([token.id for token in self.model.tokenize(seen)])
+        if plain and word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        low = word.lower()
+        if OF_RUNS.fullmatch(low) and not any(a in low for a in self.added):
+            runs = RUNS.findall(low)
+            if len(runs) > 1:
+                return b"".join(map(self.__getitem__, runs))
+        return pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def lowered(self, text: str) -> str:
+        """The text as the tokenizer sees it, if that is one Latin-1 letter for another; else as it is.
+
+        So words of other case meet the same entry, and so do those before a full
+        stop or comma, which stand alone. An added token is told by its case: a
+        text that may hold one stays.
+        """
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        low = text.lower()
+        return text if any(a in low for a in self.added) else STOP.sub(r" \g<0>", low)
+
 
 def byte_letters() -> dict[int, str]:
     """The visible letter that stands for each byte: itself, or the next free one from 256 on."""
@@ -112,7 +150,7 @@ def tokens_of(text: str, words: Words, end: int) -> bytes:
     """
     if not words.wordwise:
         return pack([*words.tokenizer.encode(text, add_special_tokens=False).ids, end])
-    parts = text.replace("\n", " ").split(" ")
+    parts = words.lowered(text.replace("\n", " ")).split(" ")
     return b"".join([*map(words.__getitem__, filter(None, parts)), pack([end])])
 
 

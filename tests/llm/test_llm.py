@@ -1,6 +1,7 @@
 """The training-data operators against plain versions of themselves, on rows of every awkward kind."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -360,6 +361,43 @@ def test_packing(tables):
         assert (rows.offset == by.cumsum() - rows.length).all() and by.sum().max() <= 4096
 
 
+def awkward_texts(count):
+    rng = random.Random(4)
+    signs = [*"aB.,'sS \n\t1éÉßÀµªº\xa0\x85!-_#%×÷½²\x1c\x0b\0", "<|endoftext|>", "<|EndOfText|>", "<|", "İ", "Σ", "œ", "e\u0301", "\u0301", ". ", ", ", "'LL", "###"]
+    made = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(count)]
+    return made + [chr(c) + d + e for c in range(400) for d in ".,#a1'" for e in ("", " ", "a", ".")]
+
+
+@pytest.mark.parametrize("kept", [5, packing.WORDS_KEPT])
+def test_words_stand_alone(monkeypatch, kept):
+    """Case, signs, added tokens and other white space; whatever the cache holds."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", kept)
+    reader = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = packing.Words(reader)
+    for text in awkward_texts(10_000):
+        assert packing.tokens_of(text, words, 2) == packing.pack([*reader.encode(text, add_special_tokens=False).ids, 2]), ascii(text)
+
+
+def test_words_share_entries(monkeypatch):
+    """Other case and signs next to a word need no entry; a word in use outlives a full cache."""
+    words = packing.Words(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    packing.tokens_of("Über über, ÜBER. über\nüber, Über###", words, 2)
+    assert set(words) == {"über", ",", ".", "###", "über###"}
+    model, asked = words.model, Counter()
+
+    class Watched:
+        def tokenize(self, word):
+            asked[word] += 1
+            return model.tokenize(word)
+
+    words.model = Watched()
+    monkeypatch.setattr(packing, "WORDS_KEPT", 20)
+    letters = "abcdefghijklmnop"
+    for a in letters:
+        packing.tokens_of(" ".join(f"frequent {a}{b}" for b in letters), words, 2)
+    assert asked["frequent"] == 1 and len(words) <= 20 and len(words.older) <= 20
+
+
 def without_repeats(rows, window=50):
     first = {}
     words = [(d, WORD.findall(t)) for d, t in rows]
