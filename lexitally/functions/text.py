@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitally.functions.stem import stem_tokens
@@ -24,6 +24,9 @@ from lexitally.functions.words import matchable
 PUNCTUATION = string.punctuation
 WORD = r"[\p{L}\p{N}_]{2,}"
 NON_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
+# What these leave out beyond ASCII: white space, and all but letters and digits.
+WIDE_SPACE = r"[\x85\p{Z}&&[^ ]]"
+WIDE_SIGN = r"[^\p{L}\p{N}\x00-\x7f]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,6 +72,21 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(empty_if_null(text)), F.lit(WORD), F.lit(0))
 
 
+def in_ascii_bounds(df: DataFrame, text: str = "text") -> DataFrame:
+    """The text as `low` and `plain`, in which ASCII alone parts words.
+
+    low: in small letters, other white space is a space, so words of `split_words`
+    can be found by bytes. plain: other signs are spaces too, as for `tokenize`;
+    null where that is low. A text in ASCII, told by its length, meets no pattern.
+    """
+    wide = lambda c: F.octet_length(c) > F.length(c)
+    replaced = lambda c, pattern: F.when(wide(c), F.regexp_replace(c, pattern, " ")).otherwise(F.col(c))
+    rest = [c for c in df.columns if c != text]
+    lower = df.select(*rest, F.lower(empty_if_null(F.col(text))).alias("low"))
+    low = lower.select(*rest, replaced("low", WIDE_SPACE).alias("low"))
+    return low.select(*rest, "low", F.nullif(replaced("low", WIDE_SIGN), F.col("low")).alias("plain"))
+
+
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All runs of `low` to `high` adjacent tokens, joined by a space."""
 
