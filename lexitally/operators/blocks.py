@@ -98,6 +98,11 @@ def unpack(data: bytes) -> dict[str, pa.Array]:
     return {name: batch.column(i).flatten() for i, name in enumerate(batch.schema.names)}
 
 
+def lines(names: pa.Array) -> pa.Array:
+    """Names as one text, a line each: their places would take as much room as they do. No token holds a line feed."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")
+
+
 def as_rows(rows: list[dict], fields: dict[str, tuple[str, pa.DataType]]) -> pa.RecordBatch:
     arrays = [pa.array([r.get(name) for r in rows], kind) for name, (_, kind) in fields.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(fields))
@@ -258,7 +263,7 @@ def block_rows(side: str, doc_id: pa.Array, label: pa.Array, low: pa.Array, plai
         rows = []
         for b in np.flatnonzero(size).tolist():
             at, n = int(begin[b]), int(size[b])
-            payload = pack({"term": names.slice(at, n), **{c: pa.array(v[at : at + n]) for c, v in columns.items()}})
+            payload = pack({"terms": lines(names.slice(at, n)), **{c: pa.array(v[at : at + n]) for c, v in columns.items()}})
             rows.append({"what": "request", "side": side, "cleaning": kind.name, "bucket": b, "block": block, "wanted": int(wanted[b]), "weighed": int(weighed[b]), "payload": payload})
         if most:
             # A term is now its place among the answers, bucket by bucket.
@@ -333,11 +338,11 @@ def settler(kinds: Sequence[Kind], labels: Sequence[int]) -> Callable:
     def run(key, table):
         kind, bucket = kinds[key[0].as_py()], key[1].as_py()
         requests = [unpack(p) for p in table["payload"].to_pylist()]
-        coded = pa.concat_arrays([r["term"] for r in requests]).dictionary_encode()
+        names = pc.split_pattern(pa.concat_arrays([r["terms"] for r in requests]), "\n")
+        coded = names.flatten().dictionary_encode()
         place, n = coded.indices.to_numpy(), len(coded.dictionary)
         have = {"df": np.zeros(n, dtype=np.int64)} | {f"total_{c}": np.zeros(n, dtype=np.int64) for c in labels}
-        ends = np.cumsum([len(r["term"]) for r in requests])
-        places = np.split(place, ends[:-1])
+        places = np.split(place, np.cumsum(pc.list_value_length(names).to_numpy())[:-1])
         for request, at in zip(requests, places, strict=True):
             if "df" in request:
                 for name, total in have.items():
