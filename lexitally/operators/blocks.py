@@ -83,8 +83,27 @@ class Kind:
         return max((s.high for s in self.schemes if s.tfidf), default=0)
 
 
-def pack(columns: dict[str, pa.Array]) -> bytes:
-    """Arrays of any lengths as bytes."""
+def pack(columns: dict[str, np.ndarray]) -> bytes:
+    """Numbers of any kinds and lengths as bytes. There are many such rows, so a plain form that is quick to read and write."""
+    head = ";".join([f"{name},{a.dtype.str},{a.nbytes}" for name, a in columns.items()])
+    body = b"".join([head.encode(), b"\n", *[a.tobytes() for a in columns.values()]])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    body = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    at = body.index(b"\n")
+    columns, head = {}, body[:at].decode()
+    at += 1
+    for name, kind, size in (field.split(",") for field in head.split(";") if field):
+        kind = np.dtype(kind)
+        columns[name] = np.frombuffer(body, dtype=kind, count=int(size) // kind.itemsize, offset=at)
+        at += int(size)
+    return columns
+
+
+def pack_texts(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of any types and lengths as bytes."""
     lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in columns.values()]
     batch = pa.record_batch(lists, names=list(columns))
     sink = pa.BufferOutputStream()
@@ -93,14 +112,15 @@ def pack(columns: dict[str, pa.Array]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(data: bytes) -> dict[str, pa.Array]:
+def unpack_texts(data: bytes) -> dict[str, pa.Array]:
     batch = pa.ipc.open_stream(data).read_next_batch()
     return {name: batch.column(i).flatten() for i, name in enumerate(batch.schema.names)}
 
 
-def lines(names: pa.Array) -> pa.Array:
-    """Names as one text, a line each: their places would take as much room as they do. No token holds a line feed."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")
+def lines(names: pa.Array) -> np.ndarray:
+    """Names as the bytes of one text, a line each: their places would take as much room as they do. No token holds a line feed."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")
+    return np.frombuffer(text[0].as_buffer(), dtype=np.uint8)
 
 
 def as_rows(rows: list[dict], fields: dict[str, tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -263,7 +283,7 @@ def block_rows(side: str, doc_id: pa.Array, label: pa.Array, low: pa.Array, plai
         rows = []
         for b in np.flatnonzero(size).tolist():
             at, n = int(begin[b]), int(size[b])
-            payload = pack({"terms": lines(names.slice(at, n)), **{c: pa.array(v[at : at + n]) for c, v in columns.items()}})
+            payload = pack({"terms": lines(names.slice(at, n)), **{c: v[at : at + n] for c, v in columns.items()}})
             rows.append({"what": "request", "side": side, "cleaning": kind.name, "bucket": b, "block": block, "wanted": int(wanted[b]), "weighed": int(weighed[b]), "payload": payload})
         if most:
             # A term is now its place among the answers, bucket by bucket.
@@ -279,7 +299,7 @@ def block_rows(side: str, doc_id: pa.Array, label: pa.Array, low: pa.Array, plai
                 "tf": pa.array(tf.astype(np.int32)),
                 "order": pa.array(answered[answered <= most]),
             }
-            rows.append({"what": "texts", "side": side, "cleaning": kind.name, "block": block, "payload": pack(texts)})
+            rows.append({"what": "texts", "side": side, "cleaning": kind.name, "block": block, "payload": pack_texts(texts)})
         yield as_rows(rows, ROWS)
 
 
@@ -338,7 +358,7 @@ def settler(kinds: Sequence[Kind], labels: Sequence[int]) -> Callable:
     def run(key, table):
         kind, bucket = kinds[key[0].as_py()], key[1].as_py()
         requests = [unpack(p) for p in table["payload"].to_pylist()]
-        names = pc.split_pattern(pa.concat_arrays([r["terms"] for r in requests]), "\n")
+        names = pc.split_pattern(pa.array([r["terms"].tobytes() for r in requests], pa.binary()).cast(pa.string()), "\n")
         coded = names.flatten().dictionary_encode()
         place, n = coded.indices.to_numpy(), len(coded.dictionary)
         have = {"df": np.zeros(n, dtype=np.int64)} | {f"total_{c}": np.zeros(n, dtype=np.int64) for c in labels}
@@ -346,7 +366,7 @@ def settler(kinds: Sequence[Kind], labels: Sequence[int]) -> Callable:
         for request, at in zip(requests, places, strict=True):
             if "df" in request:
                 for name, total in have.items():
-                    total[at] += request[name].to_numpy()
+                    total[at] += request[name]
         order = pc.count_substring(coded.dictionary, " ").to_numpy() + 1
         sums = {"what": "mass", "cleaning": kind.name, "bucket": bucket}
         for s, scheme in enumerate(kind.schemes):
@@ -358,30 +378,30 @@ def settler(kinds: Sequence[Kind], labels: Sequence[int]) -> Callable:
         sides, blocks, wanted, weighed = (table[c].to_pylist() for c in ("side", "block", "wanted", "weighed"))
         for side, block, n_wanted, n_weighed, at in zip(sides, blocks, wanted, weighed, places, strict=True):
             to = {"side": side, "cleaning": kind.name, "bucket": bucket, "block": block}
-            known_by = {"at": pa.array(at[:n_weighed])}
+            known_by = {"at": at[:n_weighed]}
             if n_weighed and side == "test":
                 rows.append({"what": "ask", **to, "payload": pack(known_by)})
             if n_wanted:
                 answer = known_by if side == "train" else {}
-                answer |= {name: pa.array(total[at[:n_wanted]]) for name, total in have.items() if side == "test" or name == "df"}
+                answer |= {name: total[at[:n_wanted]] for name, total in have.items() if side == "test" or name == "df"}
                 rows.append({"what": "answer", **to, "payload": pack(answer)})
         return pa.Table.from_batches([as_rows(rows, fields)])
 
     return run
 
 
-def answers_of(table: pa.Table, what: str) -> tuple[list[int], list[dict[str, pa.Array]]]:
+def answers_of(table: pa.Table, what: str) -> tuple[list[int], list[dict[str, np.ndarray]]]:
     """The buckets that sent rows of this sort to a block, in order, and what these say."""
     rows = sorted((b, p) for w, b, p in zip(*(table[c].to_pylist() for c in ("what", "bucket", "payload")), strict=True) if w == what)
     return [b for b, _ in rows], [unpack(p) for _, p in rows]
 
 
 def texts_of(table: pa.Table) -> dict[str, pa.Array]:
-    return unpack(next(p for w, p in zip(table["what"].to_pylist(), table["payload"].to_pylist(), strict=True) if w == "texts"))
+    return unpack_texts(next(p for w, p in zip(table["what"].to_pylist(), table["payload"].to_pylist(), strict=True) if w == "texts"))
 
 
-def joined(answers: list[dict[str, pa.Array]], name: str, kind: type = np.int64) -> np.ndarray:
-    return np.concatenate([a[name].to_numpy() for a in answers] or [np.zeros(0, dtype=kind)])
+def joined(answers: list[dict[str, np.ndarray]], name: str, kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([a[name] for a in answers] or [np.zeros(0, dtype=kind)])
 
 
 def idf(n_docs: int, df: np.ndarray) -> np.ndarray:
@@ -410,7 +430,7 @@ def weigher(kinds: Sequence[Kind], labels: Sequence[int], n_docs: int) -> Callab
         rows, begin = [], 0
         for bucket, answer in zip(buckets, answers, strict=True):
             end = begin + len(answer["df"])
-            payload = pack({"at": answer["at"], **{name: pa.array(v[begin:end]) for name, v in sums.items()}})
+            payload = pack({"at": answer["at"], **{name: v[begin:end] for name, v in sums.items()}})
             rows.append({"what": "sums", "cleaning": kind.name, "bucket": bucket, "block": block, "payload": payload})
             begin = end
         return pa.Table.from_batches([as_rows(rows, ROWS)])
@@ -425,17 +445,17 @@ def summer(kinds: Sequence[Kind], labels: Sequence[int]) -> Callable:
     def run(key, table):
         kind, bucket = kinds[key[0].as_py()], key[1].as_py()
         rows = [(w, b, unpack(p)) for w, b, p in zip(*(table[c].to_pylist() for c in ("what", "block", "payload")), strict=True)]
-        n = 1 + max(pc.max(r["at"]).as_py() for _, _, r in rows)
+        n = 1 + max(int(r["at"].max()) for _, _, r in rows)
         names = [f"{s}_{c}" for s, scheme in enumerate(kind.schemes) if scheme.tfidf for c in labels]
         sums = {name: np.zeros(n) for name in names}
         for what, _, row in rows:
             if what == "sums":
                 for name, total in sums.items():
-                    total[row["at"].to_numpy()] += row[f"sum_{name}"].to_numpy()
+                    total[row["at"]] += row[f"sum_{name}"]
         out = [{"what": "mass", "cleaning": kind.name, "bucket": bucket} | {f"mass_{name}": float(total.sum()) for name, total in sums.items()}]
         for what, block, row in rows:
             if what == "ask":
-                payload = pack({f"sum_{name}": pa.array(total[row["at"].to_numpy()]) for name, total in sums.items()})
+                payload = pack({f"sum_{name}": total[row["at"]] for name, total in sums.items()})
                 out.append({"what": "shares", "side": "test", "cleaning": kind.name, "bucket": bucket, "block": block, "payload": payload})
         return pa.Table.from_batches([as_rows(out, fields)])
 
